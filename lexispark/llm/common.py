@@ -53,7 +53,7 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def input_bytes(df: DataFrame, default: int = 64 << 20) -> int:
     """Bytes that Catalyst's statistics give for df: the files' size for a scan. Used for numbers of buckets only."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if 0 < size < 1 << 60 else default
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe
+from lexispark.llm import bpe, jaccard
 
 
 def queries() -> dict:
-    return {"op5_byte_bpe": bpe.query}
+    return {"op1_ngram_jaccard_join": jaccard.query, "op5_byte_bpe": bpe.query}
 
 
 def oracle_sql() -> dict[str, str]:
