@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, jaccard
+from lexispark.llm import bpe, jaccard, substring
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": jaccard.query, "op5_byte_bpe": bpe.query}
+    return {"op1_ngram_jaccard_join": jaccard.query, "op5_byte_bpe": bpe.query, "op10_substring_dedup": substring.query}
 
 
 def oracle_sql() -> dict[str, str]:
