@@ -13,10 +13,13 @@ Nothing is lost, for these reasons:
  * the others (mostly groups of near copies, whose blocks are all hot) first meet the least document of each hot block;
    what is in one component after that needs no further pair, and what is not is paired across components;
  * documents with too many empty blocks (tiny ones) also send the prefix of their shingles in hash order.
-Candidates are verified on whole sets with integers. Documents with equal sets are one class before any of this.
+A candidate pair first compares dense sketches (some two bits a shingle): a Hamming distance beyond the bound excludes
+it. What is left is verified on whole sets with integers: each document against the least partner it has, then pairs
+whose documents are still in different components. Documents with equal sets are one class before any of this.
 
 Scale: a batch of documents sends its keys packed in one row per bucket, keys of equal sets in a batch are sent once,
-and only documents in some candidate pair are read again.
+and only documents in some pair that the sketches let through are read again. Such a document's set is sent to the task
+of each partner it meets; partners of one document are dealt over as many tasks as there are dozens of them.
 
 Defined results: null, empty and word-free texts have no shingles and link with nothing; fewer than 5 words are one
 shingle; repeated rows are all kept; a null id is grouped by its text; columns of the input with other names are ignored.
@@ -84,7 +87,7 @@ def set_hash(own: np.ndarray) -> tuple[int, int]:
 
 
 def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Join keys of non-empty sets: (set number, band, key, margin). margin: hot keys that a document can have while some other block must still agree."""
+    """Join keys of non-empty sets, each in one or two bands: (set number and margin of each set and band, number of set and band and key of each key). margin: hot keys that a document can have while some other block must still agree."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     own_band = np.searchsorted(EDGES, size, side="right") - 1
     lower = np.flatnonzero((own_band > 0) & (size * 4 <= (EDGES[own_band] - 1) * 5))  # may be the larger of a pair whose smaller is a band below
@@ -113,13 +116,27 @@ def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         prefix = len(own) - -(-4 * len(own) // 5) + 1
         more_key.append(fmix(own[:prefix] ^ fmix(np.array([int(band[i]) + (1 << 40)], U64))))
         more_doc.append(np.full(prefix, i))
-    doc, keys = np.concatenate(more_doc), np.concatenate(more_key)
-    return which[doc], band[doc], keys, margin[doc]
+    return which, margin, np.concatenate(more_doc), np.concatenate(more_key)
+
+
+def dense_sketch(own: np.ndarray) -> bytes:
+    """Parity sketch of two to four bits a shingle."""
+    bits = max(64, 1 << int(2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & U64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def sketches_allow(a: bytes, b: bytes, size_a: int, size_b: int, percent: int = 80) -> bool:
+    """False only if the sketches' distance shows that the sets can't link. The longer sketch is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)
+    return (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * (size_a + size_b)
 
 
 def _scan(docs: DataFrame, n: int, n_buckets: int, text: str, doc_id: str) -> DataFrame:
     """kind 0: a document's id, set size and set hash; kind 1: packed keys of a batch for a bucket."""
-    schema = "kind int, doc_id long, n long, h1 long, h2 long, bucket int, sets binary, counts binary, keys binary, margins binary"
+    schema = "kind int, doc_id long, n long, h1 long, h2 long, sketch binary, bucket int, sets binary, counts binary, keys binary, margins binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,20 +145,20 @@ def _scan(docs: DataFrame, n: int, n_buckets: int, text: str, doc_id: str) -> Da
             hashes = [set_hash(s) for s in sets]
             count = len(sets)
             ids = table.column("doc_id").to_pylist()
-            rows = {"kind": [0] * count, "doc_id": ids, "n": [len(s) for s in sets], "h1": [h[0] for h in hashes], "h2": [h[1] for h in hashes], "bucket": [None] * count, "sets": [None] * count, "counts": [None] * count, "keys": [None] * count, "margins": [None] * count}
+            rows = {"kind": [0] * count, "doc_id": ids, "n": [len(s) for s in sets], "h1": [h[0] for h in hashes], "h2": [h[1] for h in hashes], "sketch": [dense_sketch(s) for s in sets], "bucket": [None] * count, "sets": [None] * count, "counts": [None] * count, "keys": [None] * count, "margins": [None] * count}
             once = {h: i for i, h in enumerate(hashes) if len(sets[i])}  # equal sets of a batch send their keys once
             some = list(once.values())
             if some:
-                which, band, keys, margin = keys_of([sets[i] for i in some])
-                h1 = np.array([hashes[i][0] for i in some], np.int64)
+                which, margin, of, keys = keys_of([sets[i] for i in some])
+                h1, margin = np.array([hashes[i][0] for i in some], np.int64)[which], np.clip(margin, -1, 32000).astype(np.int16)
                 bucket = (keys >> U64(32)) * U64(n_buckets) >> U64(32)
-                for b, (w, k, m) in common.packed(bucket.astype(np.int64), n_buckets, [which, keys, margin]):
+                for b, (w, k) in common.packed(bucket.astype(np.int64), n_buckets, [of, keys.astype(np.uint32)]):
                     order = np.argsort(w, kind="stable")
                     w = w[order]
                     start, times = common.runs(w)
-                    for name, value in (("kind", 1), ("doc_id", None), ("n", None), ("h1", None), ("h2", None), ("bucket", b), ("sets", h1[w[start]].tobytes()), ("counts", times.astype(np.int32).tobytes()), ("keys", k[order].tobytes()), ("margins", np.clip(m[order], -1, 32000).astype(np.int16).tobytes())):
+                    for name, value in (("kind", 1), ("doc_id", None), ("n", None), ("h1", None), ("h2", None), ("sketch", None), ("bucket", b), ("sets", h1[w[start]].tobytes()), ("counts", times.astype(np.int32).tobytes()), ("keys", k[order].tobytes()), ("margins", margin[w[start]].tobytes())):
                         rows[name].append(value)
-            kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), *[pa.binary()] * 4]
+            kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(rows[x], t) for x, t in zip(names, kinds, strict=True)], names=names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text")).mapInArrow(run, schema)
@@ -151,8 +168,8 @@ def _match(bucket: pa.Table) -> pa.Table:
     """Of one bucket, kind 0: pairs (a < b) of blocks that few share; kind 1: entries (key, a) of hot blocks with their margins."""
     sets = common.gather(bucket.column("sets").to_pylist(), np.int64)
     counts = common.gather(bucket.column("counts").to_pylist(), np.int32)
-    keys = common.gather(bucket.column("keys").to_pylist(), np.uint64)
-    margins = common.gather(bucket.column("margins").to_pylist(), np.int16)
+    keys = common.gather(bucket.column("keys").to_pylist(), np.uint32).astype(U64) | U64(bucket.column("bucket")[0].as_py() << 32)
+    margins = np.repeat(common.gather(bucket.column("margins").to_pylist(), np.int16), counts)
     own = np.repeat(sets, counts)
     order = np.lexsort((own, keys))
     keys, own, margins = keys[order], own[order], margins[order]
@@ -179,51 +196,74 @@ def _match(bucket: pa.Table) -> pa.Table:
     )
 
 
-def _sets_of(docs: DataFrame, needed: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
-    """(h, rep, shingles) for the classes in needed (h, rep): their documents are read again."""
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a < b) of set hashes whose sketches allow a link."""
+    own = classes.where("rep is not null").select(F.col("h1").alias("h"), "n", "sketch")
+    left = own.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = own.select(F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.chunks(batches):
-            sets = shingle_sets(table.column("text").to_pylist(), n)
-            keep = [i for i, (s, h) in enumerate(zip(sets, table.column("h").to_pylist(), strict=True)) if set_hash(s)[0] == h]
-            yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks().take(pa.array(keep, pa.int64())), table.column("rep").combine_chunks().take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["h", "rep", "shingles"])
+        for batch in batches:
+            keep = [i for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b")), strict=True)) if sketches_allow(*row)]
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
-    wanted = common.sized(needed)
-    return source.join(wanted, source.doc_id == wanted.rep).select("h", "rep", "text").mapInArrow(run, "h long, rep long, shingles binary").dropDuplicates(["h", "rep"])
+    joined = pairs.join(right, "b").join(left, "a").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of representatives among candidate pairs of set hashes."""
-    left = sets.select(F.col("h").alias("a"), F.col("rep").alias("rep_a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("h").alias("b"), F.col("rep").alias("rep_b"), F.col("shingles").alias("set_b"))
+#: Partners of a document that one task compares with it.
+PARTNERS = 48
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
-            keep = []
-            for i, (s, t) in enumerate(zip(x, y, strict=True)):
-                s, t = np.frombuffer(s, U64), np.frombuffer(t, U64)
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, text: str, doc_id: str, percent: int = 80) -> DataFrame:
+    """Links (a, b) of representatives among pairs of set hashes. Documents are read again, and each set goes to the tasks of its pairs."""
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("tasks"))
+    dealt = common.table(pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("part")), "dealt")
+    stops = dealt.select(F.col("b").alias("h"), "a", "part").unionByName(dealt.select(F.col("a").alias("h"), "a", "part").distinct())
+    reps = classes.where("rep is not null").select(F.col("h1").alias("h"), "rep")
+    routes = stops.join(reps, "h").groupBy("h", "rep").agg(F.collect_list(F.struct("a", "part")).alias("stops"))
+    routes = common.sized(common.table(routes, "routes"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.chunks(batches):
+            out = [[], [], [], [], []]
+            for own, h, rep, stops in zip(shingle_sets(table.column("text").to_pylist(), n), *(table.column(c).to_pylist() for c in ("h", "rep", "stops")), strict=True):
+                if set_hash(own)[0] == h:
+                    data = own.tobytes()
+                    for stop in stops:
+                        for column, value in zip(out, (stop["a"], stop["part"], h, rep, data), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "part", "h", "rep", "shingles"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        leader = group.column("a")[0].as_py()
+        hs, reps_, sets = (group.column(c).to_pylist() for c in ("h", "rep", "shingles"))
+        links = []
+        for i in [i for i, h in enumerate(hs) if h == leader]:
+            mine = np.frombuffer(sets[i], U64)
+            for h, rep, data in zip(hs, reps_, sets, strict=True):
+                other = np.frombuffer(data, U64)
+                if h == leader or 100 * min(len(mine), len(other)) < percent * max(len(mine), len(other)):
                     continue
-                both = np.sort(np.concatenate([s, t]))
+                both = np.sort(np.concatenate([mine, other]))
                 shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(s) + len(t) - shared):
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("rep_a").take(keep), batch.column("rep_b").take(keep)], names=["a", "b"])
+                if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                    links.append((reps_[i], rep))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    joined = pairs.join(right, "b").join(left, "a").select("rep_a", "set_a", "rep_b", "set_b")
-    return joined.mapInArrow(run, "a long, b long")
+    sent = source.join(routes, source.doc_id == routes.rep).select("text", "h", "rep", "stops").mapInArrow(send, "a long, part int, h long, rep long, shingles binary")
+    return common.table(sent.groupBy("a", "part").applyInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Links of class representatives (a, b), and every row's (doc_id, n_shingles, rep, component_id)."""
+    """Links of class representatives (a, b) that span every component, and every row's (doc_id, n_shingles, rep, component_id)."""
     spark = common.tune(docs.sparkSession)
     n_buckets = common.bucket_count(common.input_bytes(docs), BUCKET_BYTES)
     scan = common.table(_scan(docs, n, n_buckets, text, doc_id), "sketches")
-    rows = scan.where("kind = 0").select("doc_id", "n", "h1", "h2")
-    classes = common.table(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = scan.where("kind = 0").select("doc_id", "n", "h1", "h2", "sketch")
+    classes = common.table(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     packed = scan.where("kind = 1").select("bucket", "sets", "counts", "keys", "margins")
     found = common.table(packed.groupBy("bucket").applyInArrow(_match, "kind int, a long, b long, margin int"), "candidates")
     cold = found.where("kind = 0").select("a", "b").distinct()
@@ -234,27 +274,31 @@ def jaccard_join(docs: DataFrame, n: int = 5, text: str = "text", doc_id: str =
     hot = common.table(hot.join(risky, ["h", "margin"], "left_semi").select("key", "h").distinct(), "hot")
     least = hot.groupBy("key").agg(F.min("h").alias("a"))
     star = hot.join(least, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct()
-    pairs = common.table(cold.unionByName(star).distinct(), "pairs")
+    pairs = common.table(_sketched(cold.unionByName(star).distinct(), classes), "pairs")
 
-    ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(hot.select("h")).distinct()
-    needed = common.table(classes.where("rep is not null").join(ids, classes.h1 == ids.h).select("h", "rep", F.col("n").alias("size")), "needed")
-    sets = common.table(_sets_of(docs, needed.select("h", "rep"), n, text, doc_id), "sets")
-    links = common.table(_verify(pairs, sets, 80), "links")
+    forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verify(forest, classes, docs, n, text, doc_id)
     labels = components(links)
 
-    # Hot blocks whose documents are still in several components: pairs across them.
-    named = hot.join(needed, "h").join(labels, F.col("rep") == F.col("node"), "left").select("key", "h", "size", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = common.table(named.join(mixed, "key", "left_semi"), "open")
-    if not open_.isEmpty():
-        other = open_.select("key", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-        across = open_.join(other, "key").where("component < component_b and 5 * size >= 4 * size_b and 5 * size_b >= 4 * size")
-        across = across.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        links = common.table(links.unionByName(_verify(across, sets, 80)), "links")
+    # Pairs whose documents are in different components after that; of hot blocks, all pairs across components.
+    reps = classes.where("rep is not null").select(F.col("h1").alias("h"), F.col("n").alias("size"), "rep")
+    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h", "size", F.coalesce("component", "rep").alias("component"))
+    left = named.select(F.col("h").alias("a"), F.col("component").alias("c_a"))
+    right = named.select(F.col("h").alias("b"), F.col("component").alias("c_b"))
+    rest = pairs.join(forest, ["a", "b"], "left_anti").join(left, "a").join(right, "b").where("c_a <> c_b").select("a", "b")
+    blocks = hot.join(named, "h")
+    mixed = blocks.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    blocks = common.table(blocks.join(mixed, "key", "left_semi"), "open")
+    other = blocks.select("key", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("c_b"))
+    across = blocks.join(other, "key").where("component < c_b and 5 * size >= 4 * size_b and 5 * size_b >= 4 * size")
+    across = across.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = common.table(rest.unionByName(_sketched(across, classes)).distinct(), "more")
+    if not more.isEmpty():
+        links = common.table(links.unionByName(_verify(more, classes, docs, n, text, doc_id)), "links")
         labels = components(links)
 
     final = classes.join(labels, classes.rep == labels.node, "left").select("n", "h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(final, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.drop("sketch").join(final, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component_id"))
     return links, out
 
 
