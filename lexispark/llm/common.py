@@ -12,11 +12,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on. Memory of a Python worker is a small multiple of it.
 CHUNK_BYTES = 6 << 20
 #: Rows up to which a small side is broadcast after being counted; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 24 << 20
 
 U64 = np.uint64
 M1, M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -61,9 +63,17 @@ def bucket_count(size: int, per_bucket: int, least: int = 64, most: int = 1 << 2
     return int(min(most, max(least, size // per_bucket)))
 
 
-def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """small, marked for broadcast if it has at most so many rows (it is counted); otherwise as it is, for a shuffled join."""
-    return F.broadcast(small) if small.count() <= rows else small
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """schema with the fields of ddl at its end."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(ddl).fields])
+
+
+def sized(small: DataFrame, rows: int = BROADCAST_ROWS, blob: str | None = None, blob_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """small, marked for broadcast if it has at most so many rows and bytes in its binary column (both are measured); otherwise as it is, for a shuffled join."""
+    if blob is None:
+        return F.broadcast(small) if small.count() <= rows else small
+    n, size = small.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(blob)), F.lit(0))).first()
+    return F.broadcast(small) if n <= rows and size <= blob_bytes else small
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, jaccard, substring, token_store
+from lexispark.llm import bpe, jaccard, langid, substring, token_store, toxicity
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": jaccard.query, "op4_token_id_output": token_store.query, "op5_byte_bpe": bpe.query, "op10_substring_dedup": substring.query}
+    return {
+        "op1_ngram_jaccard_join": jaccard.query,
+        "op3_language_id": langid.query,
+        "op4_token_id_output": token_store.query,
+        "op5_byte_bpe": bpe.query,
+        "op7_toxicity": toxicity.query,
+        "op10_substring_dedup": substring.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
