@@ -164,12 +164,26 @@ def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
 
 
-def _gathered(found: DataFrame, name: str) -> DataFrame:
-    return common.table(found.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list("found").alias("found")), name)
+def _united(found: DataFrame, name: str, window: int = 0) -> DataFrame:
+    """One row per document: its values, or the spans that windows starting there cover."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for parts in batch.column("found").to_pylist():
+                at = np.unique(common.gather(parts, np.uint32))
+                if window:
+                    step = np.flatnonzero(np.diff(at) > window)
+                    at = np.stack([at[np.append(0, step + 1)], at[np.append(step, len(at) - 1)] + window], 1).astype(np.uint32)
+                blobs.append(at.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("found_id"), pa.array(blobs, pa.binary())], names=["found_id", "found"])
+
+    grouped = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list("found").alias("found"))
+    return common.table(grouped.mapInArrow(unite, "found_id long, found binary"), name)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(found_id, found): packed starts of the windows of a document that also start in a smaller one."""
+    """(found_id, found): packed spans [start, stop) of a document's words that windows cover which a smaller one has too."""
     spark = common.tune(docs.sparkSession)
     n_buckets = common.bucket_count(common.input_bytes(docs), BUCKET_BYTES, least=48)
     source = _source(docs, text, doc_id).where("doc_id is not null")
@@ -181,7 +195,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
             _collapse(batch.doc[at], common.int64s(table.column("doc_id")), batch.grams[at], np.zeros(len(at), np.uint32), n_buckets, rows, smaller=False)
             yield _rows(rows, n_buckets)
 
-    anchors = _gathered(source.mapInArrow(seeds, PACKED).groupBy("bucket").applyInArrow(_shared_anchors, "doc_id long, found binary"), "anchors")
+    anchors = _united(source.mapInArrow(seeds, PACKED).groupBy("bucket").applyInArrow(_shared_anchors, "doc_id long, found binary"), "anchors")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.chunks(batches):
@@ -193,16 +207,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
             for i, blobs in enumerate(table.column("found").to_pylist()):
                 a, b = int(edges[i]), int(edges[i + 1])
                 if a < b:
-                    live[a:b] = np.isin(low[a:b], common.gather(blobs, np.uint32))
+                    live[a:b] = np.isin(low[a:b], np.frombuffer(blobs, np.uint32))
             starts = batch.starts[live]
             hashes = common.poly(batch.hashes, window, base=0xD6E8FEB86659FD93)[starts]
             own = batch.doc[starts]
             _collapse(own, common.int64s(table.column("doc_id")), hashes, (starts - batch.first[own]).astype(np.uint32), n_buckets, rows, smaller=True)
             yield _rows(rows, n_buckets)
 
-    wanted = common.sized(anchors, 120_000)
+    wanted = common.sized(anchors, blob="found")
     seeded = source.join(wanted, source.doc_id == wanted.found_id).select("doc_id", "text", "found")
-    return _gathered(seeded.mapInArrow(extend, PACKED).groupBy("bucket").applyInArrow(_repeated_windows, "doc_id long, found binary"), "repeats")
+    return _united(seeded.mapInArrow(extend, PACKED).groupBy("bucket").applyInArrow(_repeated_windows, "doc_id long, found binary"), "repeats", window)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", digests_only: bool = False) -> DataFrame:
@@ -214,14 +228,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     added = ["n_words", "n_removed", "kept_sha256", "repeats"]
     rest = [c for c in docs.columns if c not in added and c != text]
     repeats = repeated_windows(docs, window, gram, text, doc_id)
-    wanted = common.sized(repeats.withColumnRenamed("found", "_found").withColumnRenamed("found_id", "_found_id"), 120_000)
+    wanted = common.sized(repeats.withColumnRenamed("found", "_found").withColumnRenamed("found_id", "_found_id"), blob="_found")
     kept = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(text))
     source = kept.join(wanted, F.col(f"`{doc_id}`").cast("long") == F.col("_found_id"), "left").drop("_found_id").withColumn("_utf8", F.col(f"`{text}`").cast("binary"))
     carried = kept.select(*[F.col(f"`{c}`") for c in rest]) if digests_only else kept
     extra = "n_words long, n_removed long, kept_sha256 string" + ("" if digests_only else ", repeats array<struct<start: long, stop: long>>")
-    schema = carried.schema
-    for field in spark_fields(extra):
-        schema = schema.add(field)
+    schema = common.extended(carried.schema, extra)
     if digests_only:
         source = source.drop(text)
 
@@ -232,10 +244,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
                 words = (raw or b"").split()
                 gone, new = [], raw
                 if blobs:
-                    at = np.unique(common.gather(blobs, np.uint32)).astype(np.int64)
-                    step = np.flatnonzero(np.diff(at) > window)
-                    first, last = at[np.append(0, step + 1)], at[np.append(step, len(at) - 1)] + window
-                    gone = list(zip(first.tolist(), last.tolist(), strict=True))
+                    gone = np.frombuffer(blobs, np.uint32).reshape(-1, 2).tolist()
                     left, i = [], 0
                     for a, b in gone:
                         left += words[i:a]
@@ -262,12 +271,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     return source.mapInArrow(cut, schema)
 
 
-def spark_fields(ddl: str):
-    from pyspark.sql import types as T
-
-    return T._parse_datatype_string(ddl).fields
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: words, removed words and the digest of what is kept, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
