@@ -163,9 +163,7 @@ class Ranks:
         self.lengths = np.fromiter(map(len, pieces), np.int64, size)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        self.index: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.starts: list[int] = [0]
+        self.cache = common.Lists(CACHE_PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of least rank, leftmost first, is joined until none is in the vocabulary."""
@@ -212,39 +210,14 @@ class Ranks:
                 heapq.heappush(heap, (r, h, stop))
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def look_up(self, pieces: list[str]) -> np.ndarray:
-        """Cache places of the pieces; what the cache lacks is merged first."""
-        index = self.index
-        found = list(map(index.get, pieces))
-        if None in found:
-            if len(index) > CACHE_PIECES:
-                index.clear()
-                self.ids, self.starts = [], [0]
-            for piece in set(pieces).difference(index):
-                self.ids += self.merge(piece.encode("utf-8", "surrogatepass"))
-                index[piece] = len(self.starts) - 1
-                self.starts.append(len(self.ids))
-            found = list(map(index.__getitem__, pieces))
-        return np.array(found, np.int64)
-
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces end to end, and the number of ids of each."""
-        if not pieces:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        at = self.look_up(pieces)
-        starts, ids = np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
-        return spread(ids, starts[at], (counts := starts[at + 1] - starts[at])), counts
+        return self.cache.take(pieces, lambda new: [self.merge(piece.encode("utf-8", "surrogatepass")) for piece in new])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids end to end, and where the bytes of each id start."""
         lengths = self.lengths[ids]
-        return spread(self.bytes, self.offsets[ids], lengths), np.cumsum(lengths) - lengths
-
-
-def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """values[starts[i] : starts[i] + counts[i]] for all i, end to end."""
-    total = int(counts.sum())
-    return values[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)]
+        return common.spread(self.bytes, self.offsets[ids], lengths), np.cumsum(lengths) - lengths
 
 
 @lru_cache(2)

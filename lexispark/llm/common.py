@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +181,53 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
     return starts, np.diff(np.append(starts, len(sorted_values)))
+
+
+def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """values[starts[i] : starts[i] + counts[i]] for all i, end to end."""
+    total = int(counts.sum())
+    return values[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)]
+
+
+class Lists:
+    """A cache from strings to lists of ids, with the lists end to end in one array. It starts anew beyond `most` entries."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict = {}
+        self.ids = np.zeros(1 << 12, np.uint32)
+        self.starts = np.zeros(1 << 10, np.int64)
+        self.used = 0
+
+    def _room(self, name: str, size: int) -> None:
+        have = getattr(self, name)
+        if len(have) < size:
+            setattr(self, name, np.concatenate([have, np.zeros(max(size, 2 * len(have)) - len(have), have.dtype)]))
+
+    def add(self, keys: list, lists: list) -> None:
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        n, more = len(self.index), int(counts.sum())
+        self._room("ids", self.used + more)
+        self._room("starts", n + len(keys) + 1)
+        self.ids[self.used : self.used + more] = np.fromiter((i for x in lists for i in x), np.uint32, more)
+        self.starts[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(counts)
+        self.used += more
+        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def take(self, keys: list, make) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys end to end, and how many each has; make(new keys) gives the lists of those that are not there yet."""
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            if len(self.index) > self.most:
+                self.clear()
+                missing = range(len(keys))
+            new = list({keys[i] for i in missing})
+            self.add(new, make(new))
+            at[missing] = [self.index[keys[i]] for i in missing]
+        starts = self.starts[at]
+        counts = self.starts[at + 1] - starts
+        return spread(self.ids, starts, counts), counts

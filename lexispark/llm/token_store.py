@@ -15,6 +15,7 @@ follow each other by their text; bytes that are no UTF-8 are replaced by U+FFFD;
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm import common
-from lexispark.llm.bpe import spread
 
 BLOCK = 128
 MAGIC, VERSION = b"PFOR", 1
@@ -143,8 +143,24 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarra
     return decode_ids(body[8 + 13 * n :]), [d if k else None for d, k in zip(plain.tolist(), known.tolist(), strict=True)], counts
 
 
+#: The alternatives of the tokenizer's own pre-tokenisation, for texts of printable ASCII and the Latin letters below only.
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9]+")
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]+")  # no composition, no change of length by lower case, no blanks
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 ones for themselves, the others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    more = iter(range(256, 512))
+    return [chr(b) if b in set(own) else chr(next(more)) for b in range(256)]
+
+
 class Words:
-    """The tokenizer with a cache of pieces between blanks. No token of this vocabulary crosses a blank or line feed, so pieces are encoded one by one."""
+    """The tokenizer with a cache of pieces between blanks. No token of this vocabulary crosses a blank or line feed, so pieces are encoded one by one.
+
+    Pieces of plain Latin text are cut into words and signs here, as the tokenizer would, and only new words reach its
+    model; any other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         import os
@@ -154,9 +170,33 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.index: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.starts: list[int] = [0]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.cache = common.Lists(CACHE_WORDS)
+        self.parts: dict[str, list[int]] = {}
+
+    def _part(self, part: str) -> list[int]:
+        if (ids := self.parts.get(part)) is None:
+            text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
+    def _make(self, pieces: list[str]) -> list[list[int]]:
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        out: list = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if PLAIN.fullmatch(piece):
+                parts = PLAIN_PARTS.findall(piece.lower())
+                out[i] = self._part(parts[0]) if len(parts) == 1 else [x for part in parts for x in self._part(part)]
+            else:
+                rest.append(i)
+        for a in range(0, len(rest), 4096):
+            some = rest[a : a + 4096]
+            for i, got in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = got.ids
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and the number of ids of each."""
@@ -166,24 +206,10 @@ class Words:
             own = text.replace("\n", " ").split(" ")
             per_text[i] = len(own)
             pieces += own
-        found = list(map(self.index.get, pieces))
-        if None in found:
-            if len(self.index) > CACHE_WORDS:
-                self.index.clear()
-                self.ids, self.starts = [], [0]
-            new = list(set(pieces).difference(self.index))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.ids += got.ids
-                    self.index[piece] = len(self.starts) - 1
-                    self.starts.append(len(self.ids))
-            found = list(map(self.index.__getitem__, pieces))
-        at, starts = np.array(found, np.int64), np.array(self.starts, np.int64)
-        counts = starts[at + 1] - starts[at]
+        ids, counts = self.cache.take(pieces, self._make)
         ends = np.cumsum(per_text)
         totals = np.concatenate([[0], np.cumsum(counts)])
-        return spread(np.array(self.ids, np.uint32), starts[at], counts), totals[ends] - totals[ends - per_text]
+        return ids, totals[ends] - totals[ends - per_text]
 
 
 @lru_cache(2)

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import common
-from lexispark.llm.bpe import spread
 
 PLACES_BITS = 18
 TERMS = 4096
@@ -53,19 +52,10 @@ class Terms:
     """Distinct inputs of texts, with a cache by run. inputs maps places to input numbers; -1 is no input."""
 
     def __init__(self, inputs: np.ndarray):
-        self.inputs, self.index = inputs, {}
-        self.ids: list[int] = []
-        self.starts: list[int] = [0, 0]  # run number 0 has no inputs
-
-    def _add(self, runs: set[str]) -> None:
-        for run in runs:
-            own = [x for x in self.inputs[terms_of(run)].tolist() if x >= 0]
-            if own:
-                self.ids += own
-                self.index[run] = len(self.starts) - 1
-                self.starts.append(len(self.ids))
-            else:
-                self.index[run] = 0
+        self.inputs, self.cache = inputs, common.Lists(CACHE_RUNS)
+
+    def _inputs(self, runs: list[str]) -> list[list[int]]:
+        return [[x for x in self.inputs[terms_of(run)].tolist() if x >= 0] for run in runs]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         runs: list[str] = []
@@ -74,18 +64,9 @@ class Terms:
             own = RUNS.findall(text.lower())
             counts[i] = len(own)
             runs += own
-        if len(self.index) > CACHE_RUNS:
-            self.index, self.ids, self.starts = {}, [], [0, 0]
-        found = list(map(self.index.get, runs))
-        if None in found:
-            self._add(set(runs).difference(self.index))
-            found = list(map(self.index.__getitem__, runs))
-        at = np.array(found, np.int64)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        doc, at = doc[at > 0], at[at > 0]
-        starts = np.array(self.starts, np.int64)
-        times = starts[at + 1] - starts[at]
-        both = np.unique(np.repeat(doc, times) << 32 | spread(np.array(self.ids, np.int64), starts[at], times))
+        ids, times = self.cache.take(runs, self._inputs)
+        doc = np.repeat(np.repeat(np.arange(len(texts)), counts), times)
+        both = np.unique(doc << 32 | ids.astype(np.int64))
         return np.split(both & 0xFFFFFFFF, np.searchsorted(both >> 32, np.arange(1, len(texts)))) if texts else []
 
 

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from lexispark.llm import token_store as ts
 
 PATH = P.path("word_bpe_49k.json")
+WORDS = ts.Words(PATH)
 TEXTS = ["", " ", "Hello World", "a  b\n\nc\td", "it's WE'LL 123 !!! <|endoftext|> x", "é é   日本語", "\x0b\x0c x\x85y", "ß ΑΣ ΑΣΑ İ", "x" * 3000, "\r\n  tail "]
 
 
@@ -33,6 +34,12 @@ def test_damage_is_noticed():
         ts.decode_segment(bytes(data))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aZqé'ßÖŁıſİžŉ×÷9_!-&s.\u0301\u0307ΣÅ日 \n\t\x0b\x1c")), max_size=24))
+def test_cached_pieces_equal_the_library(text):
+    assert WORDS.encode([text])[0].tolist() == WORDS.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_files_hold_what_the_library_gives(spark, tmp_path):
     library = Tokenizer.from_file(PATH)
     library.encode_special_tokens = True
