@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, jaccard, langid, substring, token_store, toxicity
+from lexispark.llm import bpe, decontaminate, jaccard, langid, substring, token_store, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": jaccard.query,
+        "op2_warc_revisits": warc.query,
         "op3_language_id": langid.query,
         "op4_token_id_output": token_store.query,
         "op5_byte_bpe": bpe.query,
+        "op6_benchmark_decontamination": decontaminate.query,
         "op7_toxicity": toxicity.query,
         "op10_substring_dedup": substring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_revisits": warc.ORACLE}
