@@ -11,7 +11,9 @@ Nothing is lost, for these reasons:
  * agreeing blocks may be empty, or hot (shared by more than HOT documents). A document whose empty and hot blocks are
    fewer than K - d has a block of another kind in common with every partner, so its hot blocks need no pairs;
  * the others (mostly groups of near copies, whose blocks are all hot) first meet the least document of each hot block;
-   what is in one component after that needs no further pair, and what is not is paired across components;
+   what hot blocks connect is a cluster, and documents of a cluster that are in different components after that are
+   compared by their dense sketches, tile by tile: tiles hold documents of a like size and a bounded number of them. Each
+   document is first verified against the nearest of another component, then whatever sketches still let through;
  * documents with too many empty blocks (tiny ones) also send the prefix of their shingles in hash order.
 A candidate pair first compares dense sketches (some two bits a shingle): a Hamming distance beyond the bound excludes
 it. What is left is verified on whole sets with integers: each document against the least partner it has, then pairs
@@ -212,6 +214,61 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, size, sketch, component) of all classes."""
+    reps = classes.where("rep is not null").select(F.col("h1").alias("h"), F.col("n").alias("size"), "sketch", "rep")
+    return reps.join(labels, F.col("rep") == F.col("node"), "left").select("h", "size", "sketch", F.coalesce("component", "rep").alias("component"))
+
+
+#: Documents of a tile, about, and the ratio of sizes that a tile spans. Five steps of it exceed 1 / 0.8.
+TILE, TILE_RATIO, TILE_STEPS = 1024, 1.05, 5
+
+
+def _within_clusters(clusters: DataFrame, named: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a < b) of a cluster in different components that sizes and sketches allow; with nearest, of each document and tile only the closest."""
+    members = clusters.join(named, "h").withColumn("step", F.floor(F.log(TILE_RATIO, F.col("size"))).cast("int"))
+    open_ = members.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("cluster")
+    members = common.table(members.join(open_, "cluster", "left_semi"), "members")
+    rows = members.groupBy("cluster", "step").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    members = members.join(rows, ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    tiles = rows.select("cluster", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = tiles.select("cluster", F.struct("step", "part").alias("first"))
+    second = tiles.select("cluster", F.struct("step", "part").alias("second"))
+    both = first.join(second, "cluster").where(f"first <= second and second.step - first.step <= {TILE_STEPS}")
+    stops = both.select("cluster", "first", "second", F.explode(F.when(F.expr("first = second"), F.array("first")).otherwise(F.array("first", "second"))).alias("own"))
+    stops = stops.select("cluster", "first", "second", F.col("own.step").alias("step"), F.col("own.part").alias("part"))
+    sent = stops.join(members, ["cluster", "step", "part"]).select("cluster", "first", "second", F.expr("first.step = step and first.part = part").alias("left"), "h", "size", "sketch", "component")
+
+    def compare(group: pa.Table) -> pa.Table:
+        left = group.column("left").to_numpy(zero_copy_only=False)
+        h, size, component = (group.column(c).to_numpy() for c in ("h", "size", "component"))
+        raw = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
+        least = min(map(len, raw))
+        sketch = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), 0) for x in raw])
+        same = bool((group.column("first")[0].as_py()) == (group.column("second")[0].as_py()))
+        rows = np.flatnonzero(left)
+        columns = rows if same else np.flatnonzero(~left)
+        out, closest = [], np.full(len(columns), 1 << 40)
+        partner = np.full(len(columns), -1)
+        for k, i in enumerate(rows.tolist()):
+            distance = np.bitwise_count(sketch[columns] ^ sketch[i]).sum(1, dtype=np.int64)
+            fine = (180 * distance <= 20 * (size[columns] + size[i])) & (component[columns] != component[i]) & (5 * size[columns] >= 4 * size[i]) & (5 * size[i] >= 4 * size[columns])
+            if same:
+                fine[: k + 1] = False
+            at = np.flatnonzero(fine)
+            if len(at) and nearest:
+                out.append((h[i], h[columns[at[distance[at].argmin()]]]))
+                near = at[distance[at] < closest[at]]
+                closest[near], partner[near] = distance[near], i
+            elif len(at):
+                out += [(h[i], y) for y in h[columns[at]]]
+        out += [(h[p], h[c]) for p, c in zip(partner.tolist(), columns.tolist(), strict=True) if p >= 0]
+        pairs = np.unique(np.sort(np.array(out, np.int64).reshape(-1, 2), 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return sent.groupBy("cluster", "first", "second").applyInArrow(compare, "a long, b long")
+
+
 #: Partners of a document that one task compares with it.
 PARTNERS = 48
 
@@ -280,22 +337,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, text: str = "text", doc_id: str =
     links = _verify(forest, classes, docs, n, text, doc_id)
     labels = components(links)
 
-    # Pairs whose documents are in different components after that; of hot blocks, all pairs across components.
-    reps = classes.where("rep is not null").select(F.col("h1").alias("h"), F.col("n").alias("size"), "rep")
-    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h", "size", F.coalesce("component", "rep").alias("component"))
-    left = named.select(F.col("h").alias("a"), F.col("component").alias("c_a"))
-    right = named.select(F.col("h").alias("b"), F.col("component").alias("c_b"))
-    rest = pairs.join(forest, ["a", "b"], "left_anti").join(left, "a").join(right, "b").where("c_a <> c_b").select("a", "b")
-    blocks = hot.join(named, "h")
-    mixed = blocks.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    blocks = common.table(blocks.join(mixed, "key", "left_semi"), "open")
-    other = blocks.select("key", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("c_b"))
-    across = blocks.join(other, "key").where("component < c_b and 5 * size >= 4 * size_b and 5 * size_b >= 4 * size")
-    across = across.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.table(rest.unionByName(_sketched(across, classes)).distinct(), "more")
-    if not more.isEmpty():
-        links = common.table(links.unionByName(_verify(more, classes, docs, n, text, doc_id)), "links")
-        labels = components(links)
+    # Pairs whose documents are in different components after that; of clusters of hot blocks, first the nearest, then all.
+    clusters = common.table(components(star).select(F.col("node").alias("h"), F.col("component").alias("cluster")), "clusters")
+    done = forest
+    for nearest in (True, False):
+        named = _named(classes, labels)
+        more = _within_clusters(clusters, named, nearest)
+        if not nearest:
+            left = named.select(F.col("h").alias("a"), F.col("component").alias("c_a"))
+            right = named.select(F.col("h").alias("b"), F.col("component").alias("c_b"))
+            more = more.unionByName(pairs.join(left, "a").join(right, "b").where("c_a <> c_b").select("a", "b"))
+        more = common.table(more.distinct().join(done, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            links = common.table(links.unionByName(_verify(more, classes, docs, n, text, doc_id)), "links")
+            labels = components(links)
+            done = done.unionByName(more)
 
     final = classes.join(labels, classes.rep == labels.node, "left").select("n", "h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("sketch").join(final, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component_id"))
