@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, decontaminate, jaccard, langid, substring, token_store, toxicity, warc
+from lexispark.llm import bpe, decontaminate, html_text, jaccard, langid, substring, token_store, toxicity, vectors, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.query,
         "op6_benchmark_decontamination": decontaminate.query,
         "op7_toxicity": toxicity.query,
+        "op8_html_extraction": html_text.query,
+        "op9_embedding_near_dedup": vectors.query,
         "op10_substring_dedup": substring.query,
     }
 
