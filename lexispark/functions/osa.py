@@ -69,7 +69,11 @@ def within(a: Column, b: Column, k: Column) -> Column:
     """Distance if it is at most k, else null. CASE keeps the table behind the cheap tests, wherever the optimizer moves it: lengths differ by k at most, and a transposition is two plain edits."""
     cheap = (F.abs(F.length(a) - F.length(b)) <= k) & (F.levenshtein(a, b) <= 2 * k)
     plain = F.levenshtein(a, b)
-    distance = F.when(cheap, F.when(plain <= 1, plain).otherwise(osa(a, b)))
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    swaps_only = (F.length(a) == F.length(b)) & (letters(a) == letters(b))
+    # Two plain edits are one step only as a transposition, and 2k of them are k steps only as k transpositions.
+    distance = F.when(plain <= 1, plain).when((plain == 2) & ~swaps_only, 2).when((plain == 2 * k) & ~swaps_only, FAR).otherwise(osa(a, b))
+    distance = F.when(cheap, distance)
     return F.when(distance <= k, distance)
 
 

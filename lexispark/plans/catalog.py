@@ -1,11 +1,254 @@
-"""Registry of the engine's own queries and their oracle SQL."""
+"""Registry of the engine's own queries and their oracle SQL.
+
+All run over whole tables. The dictionary is that of all documents; the queries of the searches are all distinct words of
+`benchmark`, each with a letter doubled where that makes a new word of it, so that answers are not exact only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.functions import osa
+from lexispark.functions.text import auto_distance, bit_kernel_fits, byte_length, byte_string, from_byte_string
+from lexispark.operators import compare, render, search, tree
+from lexispark.sources import dictionary
+from lexispark.streaming.search_stream import answer_stream
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.from_corpus(_table(spark, sf_dir, "documents"))
+
+
+def qid_of(word: str):
+    """60 bits of the word's digest: an id without a global sort."""
+    return F.conv(F.substr(F.md5(F.encode(word, "UTF-8")), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
+def search_queries(spark: SparkSession, sf_dir: str, distance) -> DataFrame:
+    """All distinct words of the benchmark, their second letter doubled; qid comes from a digest of the word."""
+    words = dictionary.corpus_tokens(_table(spark, sf_dir, "benchmark")).distinct()
+    bent = words.select(F.col("word").alias("source"), F.concat(F.substr(F.col("word"), F.lit(1), F.lit(2)), F.substr("word", F.lit(2), F.lit(1000))).alias("word"))
+    return bent.select(qid_of("source").alias("qid"), "source", "word").withColumn("max_distance", distance).select("qid", "max_distance", "word")
+
+
+def _flat(matches: DataFrame) -> DataFrame:
+    return matches.select("qid", "max_distance", "query", "word", "freq", "distance")
+
+
+def dictionary_build(spark, sf):
+    return corpus_dictionary(spark, sf)
+
+
+def dictionary_dedupe_max(spark, sf):
+    part = _table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"), F.col("p_size").cast("long").alias("freq"))
+    return dictionary.dedupe(part)
+
+
+def _part_lines(spark, sf):
+    broken = F.when(F.col("p_size") % 7 == 0, "").when(F.col("p_size") % 7 == 1, F.concat(F.lit(" "), F.col("p_size"), F.lit(" x"))).otherwise(F.concat(F.lit("\t"), F.col("p_size"), F.lit("\r")))
+    return _table(spark, sf, "part").select(F.concat(F.replace(F.col("p_brand"), F.lit("#"), F.lit("é")), broken).alias("value"))
+
+
+def dictionary_file_parse(spark, sf):
+    return dictionary.parse_lines(_part_lines(spark, sf), strict=False)
+
+
+def query_line_parse(spark, sf):
+    lines = _table(spark, sf, "events").select("event_id", F.concat(F.lit("approx "), F.col("user_id") % 5, F.lit("  "), F.col("event_type"), F.lit(" rest")).alias("value"))
+    return dictionary.parse_query_lines(lines).select("event_id", "max_distance", "word")
+
+
+def bench_query_mix(spark, sf):
+    return compare.query_mix(corpus_dictionary(spark, sf), 100_000, 75)
+
+
+def exact_lookup_k0(spark, sf):
+    words = dictionary.corpus_tokens(_table(spark, sf, "benchmark")).distinct()
+    queries = words.select(qid_of("word").alias("qid"), F.lit(0).alias("max_distance"), "word")
+    return _flat(search.exact(queries, corpus_dictionary(spark, sf)))
+
+
+def _names(spark, sf):
+    words = _table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(_table(spark, sf, "nation").select(F.col("n_name").alias("word"))).unionByName(_table(spark, sf, "region").select(F.col("r_name").alias("word")))
+    return words.select(F.lower("word").alias("word")).distinct()
+
+
+def osa_pairs(spark, sf):
+    """Distances of all pairs of the names, of parts, nations and regions: a few dozen words."""
+    a, b = (_names(spark, sf).select(F.length("word").alias(f"len_{c}"), F.col("word").alias(c)) for c in "ab")
+    lengths = a.select("len_a").distinct().withColumn("len_b", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    pairs = a.join(lengths, "len_a").join(b, "len_b")
+    return pairs.select("a", "b", osa.osa(byte_string(F.col("a")), byte_string(F.col("b"))).alias("distance"))
+
+
+def osa_arrow_pairs(spark, sf):
+    pairs = osa_pairs(spark, sf).select("a", "b")
+    return pairs.select("a", "b", osa.osa_arrow("a", "b").alias("distance"))
+
+
+def row_min_prune(spark, sf):
+    """Least value of the last full row: a bound for every continuation."""
+    pairs = osa_pairs(spark, sf).select("a", "b")
+    return pairs.select("a", "b", F.element_at(osa.row_minima(byte_string(F.col("a")), byte_string(F.col("b"))), -1).cast("int").alias("least"))
+
+
+def kernel_dispatch(spark, sf):
+    d = corpus_dictionary(spark, sf)
+    return d.select("word", bit_kernel_fits(F.col("word"), F.lit(50)).alias("fits"))
+
+
+def byte_lengths(spark, sf):
+    d = corpus_dictionary(spark, sf)
+    return d.select("word", byte_length(F.col("word")).alias("n_bytes"), (from_byte_string(byte_string(F.col("word"))) == F.col("word")).alias("round_trip"))
+
+
+def auto_distances(spark, sf):
+    return corpus_dictionary(spark, sf).select("word", auto_distance(F.col("word")).alias("max_distance"))
+
+
+def fuzzy_k1(spark, sf):
+    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(1)), corpus_dictionary(spark, sf)))
+
+
+def fuzzy_k2(spark, sf):
+    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(2)), corpus_dictionary(spark, sf)))
+
+
+def fuzzy_mixed_k(spark, sf):
+    return _flat(search.fuzzy(search_queries(spark, sf, (F.col("qid") % 3).cast("int")), corpus_dictionary(spark, sf)))
+
+
+def fuzzy_k3_segments(spark, sf):
+    """Distance 3 over the small dictionary of names."""
+    d = _names(spark, sf).withColumn("freq", F.lit(1).cast("long"))
+    q = dictionary.corpus_tokens(_table(spark, sf, "benchmark")).distinct().select(qid_of("word").alias("qid"), F.lit(3).alias("max_distance"), "word")
+    return _flat(search.fuzzy(q, d, "segments"))
+
+
+def fuzzy_empty_results(spark, sf):
+    q = search_queries(spark, sf, F.lit(1))
+    return search.answers(q, search.fuzzy(q, corpus_dictionary(spark, sf))).select("qid", "query", F.size("results").cast("long").alias("n"))
+
+
+def ranked_suggestions(spark, sf):
+    return search.ranked(_flat(search.fuzzy(search_queries(spark, sf, F.lit(1)), corpus_dictionary(spark, sf))))
+
+
+def _answers(spark, sf):
+    q = search_queries(spark, sf, F.lit(1))
+    return search.answers(q, search.fuzzy(q, corpus_dictionary(spark, sf)))
+
+
+def json_results_exact(spark, sf):
+    return _answers(spark, sf).select("qid", render.json_exact(F.col("results")).alias("json"))
+
+
+def json_results_valid(spark, sf):
+    return _answers(spark, sf).select("qid", render.json_valid(F.col("results")).alias("json"))
+
+
+def unmatched_words(spark, sf):
+    q = search_queries(spark, sf, F.lit(0))
+    return search.unmatched(q, corpus_dictionary(spark, sf)).select("qid", "word")
+
+
+def index_information(spark, sf):
+    return tree.information(corpus_dictionary(spark, sf))
+
+
+def index_words(spark, sf):
+    return corpus_dictionary(spark, sf).agg(F.count("*").alias("words"))
+
+
+def index_max_length(spark, sf):
+    return corpus_dictionary(spark, sf).agg((F.max(F.octet_length("word")) + 1).cast("long").alias("max_length"))
+
+
+def index_node_kinds(spark, sf):
+    return tree.node_kinds(corpus_dictionary(spark, sf))
+
+
+def index_bytes(spark, sf):
+    return tree.index_bytes(corpus_dictionary(spark, sf))
+
+
+def index_edges(spark, sf):
+    e = tree.tree_edges(corpus_dictionary(spark, sf))
+    return e.select(*[F.lower(F.hex(F.encode(c, "ISO-8859-1"))).alias(c) for c in ("parent", "child", "label")])
+
+
+def index_dot(spark, sf):
+    return tree.dot_lines(corpus_dictionary(spark, sf)).select("line")
+
+
+def index_persist_roundtrip(spark, sf):
+    from lexispark.sources.workspace import new_path
+
+    path = new_path(spark, "index")
+    dictionary.write_index(corpus_dictionary(spark, sf), path)
+    return dictionary.read_index(spark, path).select("word", "freq", "wb", "len")
+
+
+def results_diff(spark, sf):
+    """Two plans' answers compared; a seeded difference shows that the comparison sees one."""
+    q = search_queries(spark, sf, F.lit(1))
+    d = corpus_dictionary(spark, sf)
+    x = search.answers(q, search.fuzzy(q, d, "variants")).select("qid", render.json_exact(F.col("results")).alias("results"))
+    y = search.answers(q, search.fuzzy(q, d, "lengths")).select("qid", render.json_exact(F.col("results")).alias("results"))
+    return compare.results_diff(x, y.withColumn("results", F.when(F.col("qid") % 97 == 0, "seeded").otherwise(F.col("results")))).select("qid", "right")
+
+
+def bench_stats_trimmed(spark, sf):
+    t = _table(spark, sf, "events").select("event_type", F.floor("value").cast("long").alias("ms"))
+    return compare.trimmed_stats(t, ["event_type"])
+
+
+def stream_search(spark, sf):
+    """Every turn of the conversations is a query line; answers come from a stream over the table's file."""
+    from lexispark.sources.workspace import new_path
+
+    source = f"{sf}/conversations.parquet"
+    lines = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(spark, source))
+    lines = lines.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.lit("approx 1 "), F.coalesce(F.nullif(F.regexp_extract("text", r"\p{L}+", 0), F.lit("")), F.lit("none"))).alias("value"))
+    out = new_path(spark, "answers")
+    words = corpus_dictionary(spark, sf)
+    query = answer_stream(lines, words, lambda df, _: df.write.mode("append").parquet(out), new_path(spark, "checkpoint"))
+    query.awaitTermination()
+    return spark.read.schema("qid long, json string").parquet(out)
+
+
+def _stream_path(spark, source: str) -> list[str]:
+    """A stream reads folders: the table's own, or for a table that is one file a copy of it in the shared folder."""
+    from lexispark.sources.workspace import new_path
+
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(path).isDirectory():
+        return [source]
+    copy = new_path(spark, "stream")
+    spark.read.parquet(source).write.parquet(copy)
+    return [copy]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (dictionary_build, dictionary_dedupe_max, dictionary_file_parse, query_line_parse, bench_query_mix, exact_lookup_k0, osa_pairs, osa_arrow_pairs, row_min_prune, kernel_dispatch, byte_lengths, auto_distances, fuzzy_k1, fuzzy_k2, fuzzy_mixed_k, fuzzy_k3_segments, fuzzy_empty_results, ranked_suggestions, json_results_exact, json_results_valid, unmatched_words, index_words, index_max_length, index_information, index_node_kinds, index_bytes, index_edges, index_dot, index_persist_roundtrip, results_diff, bench_stats_trimmed, stream_search)
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
-def queries() -> dict:
-    return {}
 
+def oracle_sql() -> dict[str, str]:
+    from lexispark.plans.oracle import ORACLE
 
-def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
