@@ -13,7 +13,7 @@ Nothing is lost, for these reasons:
  * the others (mostly groups of near copies, whose blocks are all hot) first meet the least document of each hot block;
    what hot blocks connect is a cluster, and documents of a cluster that are in different components after that are
    compared by their dense sketches, tile by tile: tiles hold documents of a like size and a bounded number of them. Each
-   document is first verified against the nearest of another component, then whatever sketches still let through;
+   document is verified twice against the nearest of another component, then against all that sketches still let through;
  * documents with too many empty blocks (tiny ones) also send the prefix of their shingles in hash order.
 A candidate pair first compares dense sketches (some two bits a shingle): a Hamming distance beyond the bound excludes
 it. What is left is verified on whole sets with integers: each document against the least partner it has, then pairs
@@ -337,10 +337,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, text: str = "text", doc_id: str =
     links = _verify(forest, classes, docs, n, text, doc_id)
     labels = components(links)
 
-    # Pairs whose documents are in different components after that; of clusters of hot blocks, first the nearest, then all.
+    # Pairs whose documents are in different components after that; of clusters of hot blocks, twice the nearest, then all.
     clusters = common.table(components(star).select(F.col("node").alias("h"), F.col("component").alias("cluster")), "clusters")
     done = forest
-    for nearest in (True, False):
+    for nearest in (True, True, False):
         named = _named(classes, labels)
         more = _within_clusters(clusters, named, nearest)
         if not nearest:
