@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,8 @@ MAGIC, VERSION = b"PFOR", 1
 PERCENTILE = 0.9
 #: Ids of a segment, about.
 SEGMENT_IDS = 1 << 20
-CACHE_WORDS = 600_000
+#: Pieces and words that a worker keeps.
+CACHE_WORDS, CACHE_PARTS = 500_000, 150_000
 
 
 def _bit_length(values: np.ndarray) -> np.ndarray:
@@ -78,9 +80,9 @@ def encode_ids(ids: np.ndarray) -> bytes:
     table = padded.reshape(blocks, BLOCK)
     least = table.min(1) if blocks else np.zeros(0, np.uint32)
     rest = table - least[:, None]
-    bits = _bit_length(rest)
-    width = np.sort(bits, 1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1] if blocks else np.zeros(0, np.int64)
-    above = bits > width[:, None]
+    rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
+    width = _bit_length(np.partition(rest, rank, 1)[:, rank]) if blocks else np.zeros(0, np.int64)
+    above = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     of, place = np.nonzero(above)
     values = rest[of, place]
     packed = np.where(above, np.uint32(0), rest)
@@ -155,6 +157,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(more)) for b in range(256)]
 
 
+def folded(text: str) -> str:
+    """text with A-Z in lower case where that changes nothing for a tokenizer that composes first and lower-cases then: nothing is left to compose. (Of capitals that compose only as such there is I with a dot, whose lower case comes apart again.)"""
+    if text.isascii():
+        return text.lower()
+    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return low if unicodedata.is_normalized("NFC", low) else text
+
+
 class Words:
     """The tokenizer with a cache of pieces between blanks. No token of this vocabulary crosses a blank or line feed, so pieces are encoded one by one.
 
@@ -182,7 +192,7 @@ class Words:
         return ids
 
     def _make(self, pieces: list[str]) -> list[list[int]]:
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         out: list = [None] * len(pieces)
         rest = []
@@ -203,7 +213,7 @@ class Words:
         pieces: list[str] = []
         per_text = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = text.replace("\n", " ").split(" ")
+            own = folded(text).replace("\n", " ").split(" ")
             per_text[i] = len(own)
             pieces += own
         ids, counts = self.cache.take(pieces, self._make)
