@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
@@ -65,18 +65,34 @@ def row_minima(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == 0, F.array(F.lit(0))).when(F.length(b) == 0, flat).otherwise(_rows(a, b, lambda s: s["least"]))
 
 
-def within(a: Column, b: Column, k: Column) -> Column:
-    """Distance if it is at most k, else null. CASE keeps the table behind the cheap tests, wherever the optimizer moves it: lengths differ by k at most, and a transposition is two plain edits."""
-    cheap = (F.abs(F.length(a) - F.length(b)) <= k) & (F.levenshtein(a, b) <= 2 * k)
+def _cheap(a: Column, b: Column, k: Column) -> tuple[Column, Column]:
+    """(possible, decided): whether lengths and plain distance leave a chance, and the distance where the plain one decides it (null where the table must)."""
     plain = F.levenshtein(a, b)
-    letters = lambda x: F.array_sort(F.split(x, ""))
-    swaps_only = (F.length(a) == F.length(b)) & (letters(a) == letters(b))
-    # Two plain edits are one step only as a transposition, and 2k of them are k steps only as k transpositions.
-    distance = F.when(plain <= 1, plain).when((plain == 2) & ~swaps_only, 2).when((plain == 2 * k) & ~swaps_only, FAR).otherwise(osa(a, b))
-    distance = F.when(cheap, distance)
+    letters = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
+    # Of k steps at least plain - k are transpositions, which leave the letters alone; each other step moves the sorted letters by two plain edits at most.
+    moved = F.levenshtein(letters(a), letters(b))
+    possible = (F.abs(F.length(a) - F.length(b)) <= k) & (plain <= 2 * k) & ((plain <= k) | (moved <= 2 * (2 * k - plain)))
+    # Two plain edits are one step only as a transposition.
+    decided = F.when(plain <= 1, plain).when((plain == 2) & ((F.length(a) != F.length(b)) | (moved > 0)), 2)
+    return possible, decided
+
+
+def within(a: Column, b: Column, k: Column) -> Column:
+    """Distance if it is at most k, else null. CASE keeps the table behind the cheap tests, wherever the optimizer moves it."""
+    possible, decided = _cheap(a, b, k)
+    distance = F.when(possible, F.when(decided.isNotNull(), decided).otherwise(osa(a, b)))
     return F.when(distance <= k, distance)
 
 
+def within_arrow(pairs: DataFrame, a: str, b: str, k: str, word_a: str, word_b: str) -> DataFrame:
+    """pairs with distance (<= k): byte strings a and b decide what they can in the JVM, the rest goes through the Arrow kernel as words."""
+    possible, decided = _cheap(F.col(a), F.col(b), F.col(k))
+    open_ = pairs.where(possible).withColumn("_decided", decided)
+    ask = lambda word: F.when(F.col("_decided").isNull(), F.col(word))
+    judged = open_.withColumn("_table", osa_arrow(ask(word_a), ask(word_b)))
+    return judged.withColumn("distance", F.coalesce("_decided", "_table").cast("int")).where(F.col("distance") <= F.col(k)).drop("_decided", "_table")
+
+
 def osa_python(a: bytes, b: bytes) -> int:
     before, last = None, list(range(len(b) + 1))
     for i in range(1, len(a) + 1):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.osa import within
+from lexispark.functions.osa import within, within_arrow
 from lexispark.functions.text import byte_string
 from lexispark.sources.dictionary import with_bytes
 
@@ -37,7 +37,10 @@ def exact(queries: DataFrame, words: DataFrame) -> DataFrame:
     return found.withColumn("distance", F.lit(0)).select(COLUMNS)
 
 
-def _verify(candidates: DataFrame) -> DataFrame:
+def _verify(candidates: DataFrame, arrow: bool = False) -> DataFrame:
+    """Candidates within their distance. arrow: for plans that leave many candidates to the table."""
+    if arrow:
+        return within_arrow(candidates, "qb", "wb", "max_distance", "query", "word").select(COLUMNS)
     judged = candidates.withColumn("distance", within(F.col("qb"), F.col("wb"), F.col("max_distance")))
     return judged.where("distance is not null").select(COLUMNS)
 
@@ -61,8 +64,9 @@ def by_variants(queries: DataFrame, words: DataFrame, k: int) -> DataFrame:
     d = _indexed(words).select("word", "freq", "wb")
     left = deletions(q.select("qid", "qb"), "qb", k)
     right = deletions(d.select("wb"), "wb", k)
-    pairs = left.join(right, "variant").select("qid", "wb").distinct()
-    return _verify(pairs.join(q, "qid").join(d, "wb"))
+    met = left.join(right, "variant").where((F.abs(F.length("qb") - F.length("wb")) <= k) & (F.levenshtein("qb", "wb") <= 2 * k))
+    pairs = met.select("qid", "wb").distinct()
+    return _verify(pairs.join(q, "qid").join(d, "wb"), arrow=k > 1)
 
 
 def by_lengths(queries: DataFrame, words: DataFrame) -> DataFrame:
@@ -92,7 +96,7 @@ def by_segments(queries: DataFrame, words: DataFrame, k: int) -> DataFrame:
     spots = spots.withColumn("at", a + F.col("off")).withColumn("n", n).where("at >= 0 and at + n <= length(qb)")
     spots = spots.select("qid", "len", "s", F.substr(F.col("qb"), F.col("at") + 1, F.col("n")).alias("piece")).distinct()
     pairs = spots.join(long.select("len", "s", "piece", "wb"), ["len", "s", "piece"]).select("qid", "wb").distinct()
-    return _verify(pairs.join(q, "qid").join(d, "wb")).unionByName(by_lengths(queries, d.where(F.col("len") <= 2 * k)))
+    return _verify(pairs.join(q, "qid").join(d, "wb"), arrow=True).unionByName(by_lengths(queries, d.where(F.col("len") <= 2 * k)))
 
 
 def fuzzy(queries: DataFrame, words: DataFrame, strategy: str = "auto") -> DataFrame:
