@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,34 +35,28 @@ SHORT = 8
 RANK = 256
 BASIS_CELLS = 1 << 24
 ITEM_BLOCK = 20_000
-CACHE_WORDS = 700_000
-STRIP = b".,;:!?\"'()[]{}*#%&$-_"
+#: Signs that are taken out of texts and items before words are compared.
+SIGNS = b".,;:!?\"'()[]{}*#%&$-_"
 SLICES = 32
 
 
-def norm(word: bytes) -> bytes:
-    return word.strip(STRIP)
+def plain(text: str | bytes | None) -> bytes:
+    raw = text.encode() if isinstance(text, str) else (text or b"")
+    return raw.lower().translate(None, SIGNS)
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
-    raw = text.encode() if isinstance(text, str) else (text or b"")
-    return [w for w in map(norm, raw.lower().split()) if w]
+    return plain(text).split()
 
 
-class Places(dict):
-    """Place of a word in the hashed vocabulary; words that are punctuation only share the last place, which weighs nothing."""
+def places_of(words: list[bytes]) -> np.ndarray:
+    """Places of words in the hashed vocabulary."""
+    return (common.word_hashes(words) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        bare = norm(word)
-        self[word] = out = xxhash.xxh64_intdigest(bare) >> (64 - PLACES_BITS) if bare else 1 << PLACES_BITS
-        return out
 
-
-def chunk_places(places: Places, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    words, counts = common.split_words(texts, fold=True)
-    return words, np.fromiter(map(places.__getitem__, words), np.int64, len(words)), counts
+def chunk_places(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    words, counts = common.split_words([plain(t) for t in texts])
+    return words, places_of(words), counts
 
 
 def document_weights(docs: DataFrame, text: str) -> np.ndarray:
@@ -72,11 +65,11 @@ def document_weights(docs: DataFrame, text: str) -> np.ndarray:
     width = size // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, total, n = Places(), np.zeros(size + 1, np.int64), 0
+        total, n = np.zeros(size, np.int64), 0
         for table in common.chunks(batches):
-            _, at, counts = chunk_places(places, table.column("text").to_pylist())
+            _, at, counts = chunk_places(table.column("text").to_pylist())
             doc = np.repeat(np.arange(len(counts)), counts)
-            total += np.bincount(np.unique(doc << (PLACES_BITS + 1) | at) & ((2 << PLACES_BITS) - 1), minlength=size + 1)
+            total += np.bincount(np.unique(doc << PLACES_BITS | at) & (size - 1), minlength=size)
             n += table.num_rows
         for i in range(SLICES if n else 0):
             part = total[i * width : (i + 1) * width]
@@ -90,13 +83,11 @@ def document_weights(docs: DataFrame, text: str) -> np.ndarray:
         return pa.table({"slice": part.column("slice").slice(0, 1), "n": pa.array([sum(part.column("n").to_pylist())], pa.int64()), "counts": pa.array([out.tobytes()])})
 
     rows = docs.select(common.binary(text).alias("text")).mapInArrow(count, "slice int, n long, places binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, n long, counts binary").collect()  # one row per slice
-    counts, n = np.zeros(size + 1, np.int64), 0
+    counts, n = np.zeros(size, np.int64), 0
     for r in rows:
         counts[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
         n = r["n"]
-    out = np.log((n + 1) / (counts + 1)).astype(np.float32) + np.float32(0.1)
-    out[size] = 0.0
-    return out
+    return np.log((n + 1) / (counts + 1)).astype(np.float32) + np.float32(0.1)
 
 
 def random_rows(places: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
@@ -107,9 +98,9 @@ def random_rows(places: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
 
 def sparse_rows(texts: list[bytes | None], weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Unit TF-IDF rows: (places, values)."""
-    places, out = Places(), []
+    out = []
     for text in texts:
-        at, times = np.unique(np.array([places[w] for w in words_of(text)], np.int64), return_counts=True)
+        at, times = np.unique(places_of(words_of(text)), return_counts=True)
         values = times * weights[at].astype(np.float64)
         out.append((at, values / (np.linalg.norm(values) or 1.0)))
     return out
@@ -231,9 +222,9 @@ class Index:
             for p, j in zip(*(x.tolist() for x in np.nonzero(cosine >= LEAST_COSINE)), strict=True):
                 yield int(doc[part[p]]), int(start[part[p]]), j
 
-    def leaks(self, texts: list[bytes | None], places: Places) -> list[dict[int, float]]:
+    def leaks(self, texts: list[bytes | None]) -> list[dict[int, float]]:
         """Per text: leaked items and the share of their words."""
-        words, at, counts = chunk_places(places, texts)
+        words, at, counts = chunk_places(texts)
         found: list[dict[int, float]] = [{} for _ in texts]
         first = np.cumsum(counts) - counts
         seen: set[tuple[int, int, int]] = set()
@@ -244,7 +235,7 @@ class Index:
             seen.add((doc, j, start // max(WINDOW, len(item))))
             a, n = int(first[doc]), int(counts[doc])
             margin = max(WINDOW, len(item))
-            region = [w for w in map(norm, words[a + max(0, start - margin) : a + min(n, start + WINDOW + 2 * margin)]) if w]
+            region = words[a + max(0, start - margin) : a + min(n, start + WINDOW + 2 * margin)]
             if share := best_match(item, region, self.answers[j]):
                 found[doc][self.ids[j]] = share
         return found
@@ -271,12 +262,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     schema = common.extended(kept.schema, "contaminated boolean, leaked_items array<long>, leak_share double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places()
         for table in common.chunks(batches, "_utf8"):
             texts = table.column("_utf8").to_pylist()
             found: list[dict[int, float]] = [{} for _ in texts]
             for index in shared:
-                for own, more in zip(found, index.value.leaks(texts, places), strict=True):
+                for own, more in zip(found, index.value.leaks(texts), strict=True):
                     own.update(more)
             out = table.drop_columns(["_utf8"]).append_column("contaminated", pa.array([bool(f) for f in found], pa.bool_()))
             out = out.append_column("leaked_items", pa.array([sorted(f) for f in found], pa.list_(pa.int64()))).append_column("leak_share", pa.array([max(f.values(), default=0.0) for f in found], pa.float64()))
