@@ -8,7 +8,8 @@ and tables lose nothing (a slack covers rounding), and candidates are ranked by
 
 Scale: cells (at most MAX_CELLS) and codebooks are fitted on at most SAMPLE vectors, so they are of bounded size, yet
 every vector is indexed and searched. Items of a label and cell are dealt to blocks of BLOCK; a query meets its own cell
-and those after it, so a pair meets once; copies are never expanded to pairs.
+and those after it, so a pair meets once. A block answers with each vector's number of links and a forest that connects
+what is linked in it, never with the pairs themselves; copies are never expanded.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without label, link with
 nothing; vectors of different length do not link; rows with equal ids are kept, and link as if ids differed; rows
@@ -128,7 +129,7 @@ def classes_of(df: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[
 
 
 def links_of(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """Pairs (a, b) of classes' least ids with cosine >= least, once each."""
+    """Of classes' least ids, kind 0: a with the number n of other vectors linked to it in a block; kind 1: edges (a, b) that connect what a block's links connect."""
     spark = classes.sparkSession
     links = None
     sizes = [r["size"] for r in classes.select("size").distinct().collect()]  # lengths of vectors: a few
@@ -153,27 +154,34 @@ def links_of(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
                 probe[np.arange(len(cell)), cell] = True
                 after = [np.flatnonzero(p[c:]) + c for p, c in zip(probe, cell.tolist(), strict=True)]  # the other way, the other vector is the query
                 yield pa.RecordBatch.from_arrays(
-                    [table.column("rep").combine_chunks(), table.column("label").combine_chunks(), table.column("vector").combine_chunks(), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float64)), pa.array([a.astype(np.int32) for a in after], pa.list_(pa.int32()))],
-                    names=["rep", "label", "vector", "cell", "codes", "error", "probes"],
+                    [table.column("rep").combine_chunks(), table.column("copies").combine_chunks(), table.column("label").combine_chunks(), table.column("vector").combine_chunks(), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float64)), pa.array([a.astype(np.int32) for a in after], pa.list_(pa.int32()))],
+                    names=["rep", "copies", "label", "vector", "cell", "codes", "error", "probes"],
                 )
 
-        indexed = common.table(own.select("rep", "label", "vector").mapInArrow(index, "rep long, label long, vector binary, cell int, codes binary, error double, probes array<int>"), "index")
+        indexed = common.table(own.select("rep", "copies", "label", "vector").mapInArrow(index, "rep long, copies long, label long, vector binary, cell int, codes binary, error double, probes array<int>"), "index")
         counts = indexed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         placed = indexed.join(counts, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        items = placed.select("label", "cell", "block", F.lit(False).alias("asks"), "rep", "vector", "codes", "error", F.col("cell").alias("home"))
-        asked = indexed.select("label", F.explode("probes").alias("cell"), "rep", "vector", "codes", "error", F.col("cell").alias("home")).join(counts, ["label", "cell"])
-        asked = asked.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "vector", "codes", "error", "home")
+        items = placed.select("label", "cell", "block", F.lit(False).alias("asks"), "rep", "copies", "vector", "codes", "error", F.col("cell").alias("home"))
+        asked = indexed.select("label", F.explode("probes").alias("cell"), "rep", "copies", "vector", "codes", "error", F.col("cell").alias("home")).join(counts, ["label", "cell"])
+        asked = asked.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "copies", "vector", "codes", "error", "home")
 
         def search(group: pa.Table) -> pa.Table:
             q = shared.value
             asks = group.column("asks").to_numpy(zero_copy_only=False)
             cell = group.column("cell")[0].as_py()
-            rep, home, error = (group.column(c).to_numpy() for c in ("rep", "home", "error"))
+            rep, copies, home, error = (group.column(c).to_numpy() for c in ("rep", "copies", "home", "error"))
             x = _matrix(group.column("vector"))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint8).reshape(len(rep), -1)
             item = np.flatnonzero(~asks)
-            out: list[np.ndarray] = []
+            names, local = np.unique(rep, return_inverse=True)
+            degree, up = np.zeros(len(names), np.int64), list(range(len(names)))
+
+            def top(v: int) -> int:
+                while up[v] != v:
+                    up[v] = v = up[up[v]]
+                return v
+
             bound = reach + SLACK + error[item]
             for i in np.flatnonzero(asks).tolist():
                 close = item[q.distances(x[i].astype(np.float32), cell, codes[item]) <= bound]
@@ -182,24 +190,37 @@ def links_of(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
                 if len(close):
                     close = close[x[close] @ x[i] >= least - 1e-9]
                     close = close[[float(np.dot(x[j], x[i])) >= least for j in close]] if len(close) else close
-                    if len(close):
-                        out.append(np.stack([np.full(len(close), rep[i]), rep[close]], 1))
-            pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            return pa.table({"a": pairs.min(1), "b": pairs.max(1)}) if len(pairs) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-        found = common.table(items.unionByName(asked).groupBy("label", "cell", "block").applyInArrow(search, "a long, b long"), "near")
+                if len(close):
+                    degree[local[i]] += copies[close].sum()
+                    degree[local[close]] += copies[i]
+                    for j in local[close].tolist():
+                        u, v = sorted((top(int(local[i])), top(j)))
+                        up[v] = u
+            some = np.flatnonzero(degree)
+            low = np.array([v for v in range(len(up)) if up[v] != v], np.int64)
+            roots = np.array([top(v) for v in low.tolist()], np.int64)
+            return pa.table(
+                {
+                    "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(some), len(low)])),
+                    "a": pa.array(np.concatenate([names[some], names[roots]]).astype(np.int64)),
+                    "b": pa.array(np.concatenate([names[some], names[low]]).astype(np.int64)),
+                    "n": pa.array(np.concatenate([degree[some], np.zeros(len(low), np.int64)])),
+                }
+            )
+
+        found = common.table(items.unionByName(asked).groupBy("label", "cell", "block").applyInArrow(search, "kind int, a long, b long, n long"), "near")
         links = found if links is None else links.unionByName(found)
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+    return links if links is not None else spark.createDataFrame([], "kind int, a long, b long, n long")
 
 
 def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of df."""
     common.tune(df.sparkSession)
     rows, classes = classes_of(df, vec_id, embedding, label)
-    links = links_of(classes, least)
+    found = links_of(classes, least)
     names = classes.select("rep", "copies", "key", "label")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = both.join(names.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    degrees = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    links = found.where("kind = 1").select("a", "b")
     final = names.join(degrees, "rep", "left").join(components(links), F.col("rep") == F.col("node"), "left")
     final = final.select("label", "key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(final, ["label", "key"], "left").select(F.col("row_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "row_id").alias("component_id"))
