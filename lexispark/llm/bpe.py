@@ -36,7 +36,7 @@ BOS, IN_L, IN_N, IN_O, SP, WS, C1, C2, CE = range(9)
 #: White_Space of the Unicode Character Database, which is what \s stands for in the pattern.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces that a worker's cache holds before it is started anew.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 300_000
 
 
 @lru_cache(1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on. Memory of a Python worker is a small multiple of it.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Rows up to which a small side is broadcast after being counted; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 24 << 20
@@ -88,8 +90,17 @@ def binary(column: str = "text"):
     return F.col(column).cast("binary").alias(column)
 
 
+def relax() -> None:
+    """Give memory that an earlier task in this worker has freed back to the system: workers are used again, and several share a machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup batches so that each holds about `limit` bytes of `column` (a longer single row stays whole)."""
+    relax()
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:

@@ -33,7 +33,7 @@ SAMPLE_ROWS = 20_000
 EPOCHS = 12
 LEAST_G = 12.0
 THRESHOLD = 0.3
-CACHE_RUNS = 600_000
+CACHE_RUNS = 200_000
 RUNS = regex.compile(r"\p{L}+")
 SLICES = 16
 
