@@ -7,9 +7,10 @@ reach the least cosine are left out by an exact bound: what a projection keeps i
 on words of the benchmark. Around each candidate the longest common subsequence with the item's words is measured:
 NEAR of them in order is a leak, LOOSE of them is one if the answer (the item's last sentence) is there as well.
 
-Bounds: items are taken in blocks of ITEM_BLOCK, so what is broadcast does not grow with the benchmark (basis and
-coordinates: BASIS_CELLS numbers at most); the table of weights has 2^20 places, whatever the corpus. Documents are only
-mapped over; nothing of them is shuffled but counts.
+Bounds: items are taken in blocks of ITEM_BLOCK, fewer than RANK, so a block's basis holds all of its items whole and the
+cosines are exact however large the benchmark is. A worker holds up to HELD_BLOCKS blocks; of more it loads one at a time.
+Time grows with the number of blocks. The table of weights has 2^20 places, whatever the corpus. Documents are only mapped
+over; nothing of them is shuffled but counts.
 
 Defined results: null and empty texts are clean; items without words or text match nothing; items of under 8 words count
 only if they stand there word for word; repeated rows are kept and judged alike; an empty benchmark leaves all clean.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ LEAST_COSINE = 0.4
 NEAR, LOOSE, ANSWER = 0.75, 0.55, 0.5
 SHORT = 8
 RANK = 256
-BASIS_CELLS = 1 << 24
-ITEM_BLOCK = 20_000
+#: Items of a block. A basis of a rank below their number would lose most of an item, and with it its exact copies.
+ITEM_BLOCK = RANK - 8
+HELD_BLOCKS = 8
 #: Signs that are taken out of texts and items before words are compared.
 SIGNS = b".,;:!?\"'()[]{}*#%&$-_"
 SLICES = 32
@@ -133,7 +136,7 @@ def basis_of(items: DataFrame, weights_shared, rank: int) -> tuple[np.ndarray, n
         np.add.at(out, where, cells)
         return pa.table({"slice": part.column("slice").slice(0, 1), "places": pa.array([found.tobytes()]), "cells": pa.array([out.tobytes()])})
 
-    rows = items.select("text").mapInArrow(product, "slice int, places binary, cells binary").groupBy("slice").applyInArrow(add, "slice int, places binary, cells binary").collect()  # BASIS_CELLS at most
+    rows = items.select("text").mapInArrow(product, "slice int, places binary, cells binary").groupBy("slice").applyInArrow(add, "slice int, places binary, cells binary").collect()  # the words of one block's items, times rank
     if not rows:
         return np.zeros(0, np.int64), np.zeros((0, rank), np.float32)
     at = np.concatenate([np.frombuffer(r["places"], np.int64) for r in rows])
@@ -174,6 +177,27 @@ def best_match(item: list[bytes], region: list[bytes], answer: list[bytes]) -> f
     return share if share >= LOOSE and answer and lcs(answer, region) >= ANSWER * len(answer) else 0.0
 
 
+class Passages:
+    """Passages of a chunk of documents: the document, start in it and first word's number of each, and words' weights."""
+
+    def __init__(self, at: np.ndarray, counts: np.ndarray, weights: np.ndarray):
+        first = np.cumsum(counts) - counts
+        number = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, (counts > 0).astype(np.int64))
+        self.doc = np.repeat(np.arange(len(counts)), number)
+        step = np.arange(len(self.doc)) - np.repeat(np.cumsum(number) - number, number)
+        self.start = np.minimum(step * STRIDE, np.maximum(counts[self.doc] - WINDOW, 0))
+        self.length = np.minimum(WINDOW, counts[self.doc])
+        self.a = first[self.doc] + self.start
+        self.at, self.weight = at, weights[at]
+        self.square = self.weight.astype(np.float64) ** 2
+        self.full = self.sums(self.square)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the words of each passage."""
+        total = np.concatenate([[0.0], np.cumsum(values)])
+        return total[self.a + self.length] - total[self.a]
+
+
 class Index:
     """A block of items: basis, coordinates, words and answers."""
 
@@ -181,12 +205,10 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.answers = [answer_of(t) for _, t in items]
-        self.weights = weights
-        self.row = np.full(len(weights), -1, np.int32)
-        self.row[vocabulary] = np.arange(len(vocabulary))
+        self.vocabulary = vocabulary
         coordinates = np.zeros((len(items), basis.shape[1]), np.float64)
         for i, (at, values) in enumerate(sparse_rows([t.encode() for _, t in items], weights)):
-            coordinates[i] = values @ basis[self.row[at]].astype(np.float64) if len(at) else 0.0
+            coordinates[i] = values @ basis[np.searchsorted(vocabulary, at)].astype(np.float64) if len(at) else 0.0
         # The SVD proper: rotate the basis to the right singular vectors.
         _, sigma, rotation = np.linalg.svd(coordinates, full_matrices=False)
         keep = sigma > 1e-6
@@ -195,40 +217,32 @@ class Index:
         coordinates = coordinates @ rotation
         length = np.linalg.norm(coordinates, axis=1, keepdims=True)
         self.items = (coordinates / np.where(length > 0, length, 1.0)).astype(np.float32)
-        self.weight_in = np.where(self.row >= 0, weights, np.float32(0)) ** 2
 
-    def candidates(self, at: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def candidates(self, p: Passages) -> Iterator[tuple[int, int, int]]:
         """(document, start of the passage in it, item) of all passages and items whose cosine reaches the least one."""
-        first = np.cumsum(counts) - counts
-        number = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, (counts > 0).astype(np.int64))
-        doc = np.repeat(np.arange(len(counts)), number)
-        step = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-        start = np.minimum(step * STRIDE, np.maximum(counts[doc] - WINDOW, 0))
-        length = np.minimum(WINDOW, counts[doc])
-        a = first[doc] + start
-        weight = self.weights[at]
-        total, within = (np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (weight.astype(np.float64) ** 2, self.weight_in[at]))
-        full = total[a + length] - total[a]
-        some = np.flatnonzero(((within[a + length] - within[a]) >= LEAST_COSINE**2 * full) & (full > 0))
+        row = np.full(1 << PLACES_BITS, -1, np.int32)
+        row[self.vocabulary] = np.arange(len(self.vocabulary))
+        row = row[p.at]
+        within = p.sums(np.where(row >= 0, p.square, 0.0))
+        some = np.flatnonzero((within >= LEAST_COSINE**2 * p.full) & (p.full > 0))
         for i in range(0, len(some), 1024):
             part = some[i : i + 1024]
-            spots = a[part][:, None] + np.arange(WINDOW)
-            inside = np.arange(WINDOW) < length[part][:, None]
+            spots = p.a[part][:, None] + np.arange(WINDOW)
+            inside = np.arange(WINDOW) < p.length[part][:, None]
             spots = np.where(inside, spots, 0)
-            rows = np.where(inside, self.row[at[spots]], -1)
-            values = np.where(rows >= 0, weight[spots], np.float32(0))
+            rows = np.where(inside, row[spots], -1)
+            values = np.where(rows >= 0, p.weight[spots], np.float32(0))
             passage = np.einsum("ij,ijk->ik", values, self.basis[rows])
-            cosine = passage @ self.items.T / np.sqrt(full[part])[:, None].astype(np.float32)
-            for p, j in zip(*(x.tolist() for x in np.nonzero(cosine >= LEAST_COSINE)), strict=True):
-                yield int(doc[part[p]]), int(start[part[p]]), j
+            cosine = passage @ self.items.T / np.sqrt(p.full[part])[:, None].astype(np.float32)
+            for k, j in zip(*(x.tolist() for x in np.nonzero(cosine >= LEAST_COSINE)), strict=True):
+                yield int(p.doc[part[k]]), int(p.start[part[k]]), j
 
-    def leaks(self, texts: list[bytes | None]) -> list[dict[int, float]]:
+    def leaks(self, words: list[bytes], counts: np.ndarray, passages: Passages) -> list[dict[int, float]]:
         """Per text: leaked items and the share of their words."""
-        words, at, counts = chunk_places(texts)
-        found: list[dict[int, float]] = [{} for _ in texts]
+        found: list[dict[int, float]] = [{} for _ in counts]
         first = np.cumsum(counts) - counts
         seen: set[tuple[int, int, int]] = set()
-        for doc, start, j in self.candidates(at, counts):
+        for doc, start, j in self.candidates(passages):
             item = self.words[j]
             if self.ids[j] in found[doc] or not item or (doc, j, start // max(WINDOW, len(item))) in seen:
                 continue
@@ -241,6 +255,25 @@ class Index:
         return found
 
 
+def blocks_of(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    while block := list(islice(items, ITEM_BLOCK)):
+        yield block
+
+
+def judged(texts: list[bytes | None], weights, shared: list) -> list[dict[int, float]]:
+    """Per text: items of all blocks that leaked, and the share of their words."""
+    words, at, counts = chunk_places(texts)
+    passages = Passages(at, counts, weights.value)
+    found: list[dict[int, float]] = [{} for _ in texts]
+    for block in shared:
+        for own, more in zip(found, block.value.leaks(words, counts, passages), strict=True):
+            for i, share in more.items():
+                own[i] = max(share, own.get(i, 0.0))
+        if len(shared) > HELD_BLOCKS:
+            block.__dict__.pop("_value", None)  # read again from the worker's local copy for the next chunk
+    return found
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with contaminated, leaked_items (ascending item ids) and leak_share (largest share); columns of these names are replaced."""
     spark = common.tune(docs.sparkSession)
@@ -249,25 +282,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     added = ["contaminated", "leaked_items", "leak_share"]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added and (keep_text or c != text)])
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("item"))
-    n = items.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
     shared = []
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "item"), F.lit(blocks)) == b)
-        rows = [(r.id, r["item"]) for r in block.collect()]  # about ITEM_BLOCK of them
-        vocabulary_bound = sum(len(t.split()) for _, t in rows) or 1
-        rank = int(max(8, min(RANK, len(rows) + 8, BASIS_CELLS // vocabulary_bound)))
-        basis = basis_of(block.select(F.col("item").cast("binary").alias("text")), weights, rank)
-        shared.append(sc.broadcast(Index(sorted(rows), *basis, weights.value)))
+    for block in blocks_of((r.id, r["item"]) for r in items.orderBy("id", "item").toLocalIterator()):
+        texts = spark.createDataFrame([(t.encode(),) for _, t in block], "text binary")
+        shared.append(sc.broadcast(Index(block, *basis_of(texts, weights, len(block) + 8), weights.value)))
     schema = common.extended(kept.schema, "contaminated boolean, leaked_items array<long>, leak_share double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.chunks(batches, "_utf8"):
-            texts = table.column("_utf8").to_pylist()
-            found: list[dict[int, float]] = [{} for _ in texts]
-            for index in shared:
-                for own, more in zip(found, index.value.leaks(texts), strict=True):
-                    own.update(more)
+            found = judged(table.column("_utf8").to_pylist(), weights, shared)
             out = table.drop_columns(["_utf8"]).append_column("contaminated", pa.array([bool(f) for f in found], pa.bool_()))
             out = out.append_column("leaked_items", pa.array([sorted(f) for f in found], pa.list_(pa.int64()))).append_column("leak_share", pa.array([max(f.values(), default=0.0) for f in found], pa.float64()))
             yield from out.to_batches()

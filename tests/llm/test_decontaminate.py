@@ -67,3 +67,17 @@ def test_item_blocks_find_the_same(spark, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     monkeypatch.setattr(d, "ITEM_BLOCK", 4)
     assert {(r.doc_id, *r.leaked_items) for r in d.decontaminate(docs, bench).collect()} == {(i, i) for i in range(9)}
+
+
+def test_copies_from_a_benchmark_of_thousands(spark):
+    rng = random.Random(4)
+    vocab = [f"word{i}" for i in range(3000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(draw(rng.randrange(15, 60)))) for i in range(2000)]
+    rows = []
+    for k in range(200):  # every second one reworded: each seventh word is another
+        own = [f"new{j}" if k % 2 and j % 7 == 3 else x for j, x in enumerate(items[k * 10][1].split())]
+        rows.append((k, " ".join([*draw(40), *own, *draw(40)])))
+    docs = spark.createDataFrame([*rows, *((200 + i, " ".join(draw(100))) for i in range(300))], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, *r.leaked_items) for r in d.decontaminate(docs, bench).collect() if r.contaminated} == {(k, k * 10) for k in range(200)}
