@@ -5,9 +5,11 @@ randomised SVD of these vectors, its products summed over partitions, gives a ba
 documents (32 words, every 16 words) are projected on it and compared with all items by cosine. Passages that cannot
 reach the least cosine are left out by an exact bound: what a projection keeps is at most the weight that a passage has
 on words of the benchmark. Around each candidate the longest common subsequence with the item's words is measured:
-NEAR of them in order is a leak, LOOSE of them is one if the answer (the item's last sentence) is there as well.
+NEAR of them in order is a leak, LOOSE of them is one if the answer (the item's last sentence) is there as well. Items much
+longer than a window are cut into parts of its length for the retrieval, and verified as a whole. Word for word copies of
+items of any length are found apart from all cosines: by the item's rarest word and a hash of its word sequence.
 
-Bounds: items are taken in blocks of ITEM_BLOCK, fewer than RANK, so a block's basis holds all of its items whole and the
+Bounds: items' parts are taken in blocks of ITEM_BLOCK, fewer than RANK, so a block's basis holds all of its items whole and the
 cosines are exact however large the benchmark is. A worker holds up to HELD_BLOCKS blocks; of more it loads one at a time.
 Time grows with the number of blocks. The table of weights has 2^20 places, whatever the corpus. Documents are only mapped
 over; nothing of them is shuffled but counts.
@@ -19,8 +21,7 @@ only if they stand there word for word; repeated rows are kept and judged alike;
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ WINDOW, STRIDE = 32, 16
 LEAST_COSINE = 0.4
 NEAR, LOOSE, ANSWER = 0.75, 0.55, 0.5
 SHORT = 8
+BASE = np.uint64(0x9E3779B97F4A7C15)
 RANK = 256
-#: Items of a block. A basis of a rank below their number would lose most of an item, and with it its exact copies.
+#: Parts of items in a block. A basis of a rank below their number would lose most of an item, and with it its exact copies.
 ITEM_BLOCK = RANK - 8
 HELD_BLOCKS = 8
 #: Signs that are taken out of texts and items before words are compared.
@@ -168,20 +170,20 @@ def answer_of(text: str) -> list[bytes]:
 
 def best_match(item: list[bytes], region: list[bytes], answer: list[bytes]) -> float:
     """Share of the item's words that the region has in order, or 0.0 if that is no leak."""
-    n = len(item)
-    if n < SHORT:
-        return float(any(region[i : i + n] == item for i in range(len(region) - n + 1)))
-    share = lcs(item, region) / n
+    share = lcs(item, region) / len(item)
     if share >= NEAR:
         return share
     return share if share >= LOOSE and answer and lcs(answer, region) >= ANSWER * len(answer) else 0.0
 
 
 class Passages:
-    """Passages of a chunk of documents: the document, start in it and first word's number of each, and words' weights."""
+    """Passages of a chunk of documents: the document, start in it and first word's number of each, words' weights and running sequence hashes."""
 
-    def __init__(self, at: np.ndarray, counts: np.ndarray, weights: np.ndarray):
-        first = np.cumsum(counts) - counts
+    def __init__(self, at: np.ndarray, counts: np.ndarray, weights: np.ndarray, hashes: np.ndarray):
+        self.counts, self.ends = counts, np.cumsum(counts)
+        self.powers = powers(len(at))
+        self.sequence = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.powers, dtype=np.uint64)])
+        first = self.ends - counts
         number = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, (counts > 0).astype(np.int64))
         self.doc = np.repeat(np.arange(len(counts)), number)
         step = np.arange(len(self.doc)) - np.repeat(np.cumsum(number) - number, number)
@@ -198,19 +200,70 @@ class Passages:
         return total[self.a + self.length] - total[self.a]
 
 
+def parts_of(words: list[bytes]) -> list[bytes]:
+    """What the retrieval compares with windows: an item of up to two windows as it is, a longer one in even parts, none of a short one."""
+    n = len(words)
+    number = 1 if n <= 2 * WINDOW else -(-n // WINDOW)
+    return [b" ".join(words[n * i // number : n * (i + 1) // number]) for i in range(number)] if n >= SHORT else []
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the base of sequence hashes, modulo 2^64."""
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), BASE)]), dtype=np.uint64)[:n]
+
+
+class Sequences:
+    """Word sequences, found word for word: by the place of each one's rarest word, then by its hash."""
+
+    def __init__(self, sequences: list[list[bytes]], weights: np.ndarray):
+        number = np.array([j for j, words in enumerate(sequences) if words], np.int64)
+        hashes = [common.word_hashes(sequences[j]) for j in number.tolist()]
+        places = [places_of(sequences[j]) for j in number.tolist()]
+        offset = np.array([int(weights[x].argmax()) for x in places], np.int64)
+        place = np.array([int(x[o]) for x, o in zip(places, offset.tolist(), strict=True)], np.int64)
+        order = np.argsort(place, kind="stable")
+        self.number, self.offset = number[order], offset[order]
+        self.length = np.array([len(x) for x in hashes], np.int64)[order]
+        self.hash = np.array([(x * powers(len(x))).sum(dtype=np.uint64) for x in hashes], np.uint64)[order]
+        self.first, self.count = common.runs(place[order])
+        self.place = place[order][self.first]
+
+    def hits(self, p: Passages) -> Iterator[tuple[int, int, int]]:
+        """(document, number of its first word in the chunk, sequence) wherever the hash of a sequence stands within a document."""
+        which = np.full(1 << PLACES_BITS, -1, np.int32)
+        which[self.place] = np.arange(len(self.place))
+        which = which[p.at]
+        spots = np.flatnonzero(which >= 0)
+        for i in range(0, len(spots), 1 << 14):
+            spot = spots[i : i + (1 << 14)]
+            k = which[spot]
+            entry = common.spread(np.arange(len(self.number)), self.first[k], self.count[k])
+            spot = np.repeat(spot, self.count[k])
+            begin = spot - self.offset[entry]
+            doc = np.searchsorted(p.ends, spot, side="right")
+            inside = (begin >= p.ends[doc] - p.counts[doc]) & (begin + self.length[entry] <= p.ends[doc])
+            begin, entry, doc = begin[inside], entry[inside], doc[inside]
+            same = p.sequence[begin + self.length[entry]] - p.sequence[begin] == self.hash[entry] * p.powers[begin]
+            yield from zip(doc[same].tolist(), begin[same].tolist(), self.number[entry[same]].tolist(), strict=True)
+
+
 class Index:
-    """A block of items: basis, coordinates, words and answers."""
+    """A block of items and their parts: basis, coordinates, words and answers."""
 
-    def __init__(self, items: list[tuple[int, str]], vocabulary: np.ndarray, basis: np.ndarray, weights: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], vocabulary: np.ndarray, basis: np.ndarray, weights: np.ndarray, parts: list[list[bytes]] | None = None):
+        parts = [parts_of(words_of(t)) for _, t in items] if parts is None else parts
+        texts = [x for own in parts for x in own]
+        self.owner = np.repeat(np.arange(len(items)), [len(own) for own in parts])
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.answers = [answer_of(t) for _, t in items]
+        self.sequences = Sequences(self.words, weights)
         self.vocabulary = vocabulary
-        coordinates = np.zeros((len(items), basis.shape[1]), np.float64)
-        for i, (at, values) in enumerate(sparse_rows([t.encode() for _, t in items], weights)):
+        coordinates = np.zeros((len(texts), basis.shape[1]), np.float64)
+        for i, (at, values) in enumerate(sparse_rows(texts, weights)):
             coordinates[i] = values @ basis[np.searchsorted(vocabulary, at)].astype(np.float64) if len(at) else 0.0
         # The SVD proper: rotate the basis to the right singular vectors.
-        _, sigma, rotation = np.linalg.svd(coordinates, full_matrices=False)
+        _, sigma, rotation = np.linalg.svd(coordinates, full_matrices=False) if len(texts) else (None, np.zeros(0), np.zeros((0, basis.shape[1])))
         keep = sigma > 1e-6
         self.sigma, rotation = sigma[keep], rotation[keep].T
         self.basis = np.concatenate([(basis.astype(np.float64) @ rotation), np.zeros((1, int(keep.sum())))]).astype(np.float32)
@@ -220,6 +273,8 @@ class Index:
 
     def candidates(self, p: Passages) -> Iterator[tuple[int, int, int]]:
         """(document, start of the passage in it, item) of all passages and items whose cosine reaches the least one."""
+        if not len(self.items):
+            return
         row = np.full(1 << PLACES_BITS, -1, np.int32)
         row[self.vocabulary] = np.arange(len(self.vocabulary))
         row = row[p.at]
@@ -235,16 +290,20 @@ class Index:
             passage = np.einsum("ij,ijk->ik", values, self.basis[rows])
             cosine = passage @ self.items.T / np.sqrt(p.full[part])[:, None].astype(np.float32)
             for k, j in zip(*(x.tolist() for x in np.nonzero(cosine >= LEAST_COSINE)), strict=True):
-                yield int(p.doc[part[k]]), int(p.start[part[k]]), j
+                yield int(p.doc[part[k]]), int(p.start[part[k]]), int(self.owner[j])
 
     def leaks(self, words: list[bytes], counts: np.ndarray, passages: Passages) -> list[dict[int, float]]:
         """Per text: leaked items and the share of their words."""
         found: list[dict[int, float]] = [{} for _ in counts]
         first = np.cumsum(counts) - counts
+        for doc, begin, j in self.sequences.hits(passages):
+            item = self.words[j]
+            if self.ids[j] not in found[doc] and words[begin : begin + len(item)] == item:
+                found[doc][self.ids[j]] = 1.0
         seen: set[tuple[int, int, int]] = set()
         for doc, start, j in self.candidates(passages):
             item = self.words[j]
-            if self.ids[j] in found[doc] or not item or (doc, j, start // max(WINDOW, len(item))) in seen:
+            if self.ids[j] in found[doc] or (doc, j, start // max(WINDOW, len(item))) in seen:
                 continue
             seen.add((doc, j, start // max(WINDOW, len(item))))
             a, n = int(first[doc]), int(counts[doc])
@@ -255,15 +314,29 @@ class Index:
         return found
 
 
-def blocks_of(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
-    while block := list(islice(items, ITEM_BLOCK)):
+def blocks_of(items: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str, list[bytes]]]]:
+    """Items with their parts in blocks of ITEM_BLOCK parts; an item without any counts as one, and one may lie in several blocks."""
+    block: list[tuple[int, str, list[bytes]]] = []
+    room = ITEM_BLOCK
+    for i, text in items:
+        parts = parts_of(words_of(text))
+        for k in range(0, len(parts), ITEM_BLOCK) if parts else [0]:
+            own = parts[k : k + ITEM_BLOCK]
+            if block and max(1, len(own)) > room:
+                yield block
+                block, room = [], ITEM_BLOCK
+            block.append((i, text, own))
+            room -= max(1, len(own))
+    if block:
         yield block
 
 
 def judged(texts: list[bytes | None], weights, shared: list) -> list[dict[int, float]]:
     """Per text: items of all blocks that leaked, and the share of their words."""
-    words, at, counts = chunk_places(texts)
-    passages = Passages(at, counts, weights.value)
+    words, counts = common.split_words([plain(t) for t in texts])
+    hashes = common.word_hashes(words)
+    at = (hashes >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+    passages = Passages(at, counts, weights.value, hashes)
     found: list[dict[int, float]] = [{} for _ in texts]
     for block in shared:
         for own, more in zip(found, block.value.leaks(words, counts, passages), strict=True):
@@ -284,8 +357,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("item"))
     shared = []
     for block in blocks_of((r.id, r["item"]) for r in items.orderBy("id", "item").toLocalIterator()):
-        texts = spark.createDataFrame([(t.encode(),) for _, t in block], "text binary")
-        shared.append(sc.broadcast(Index(block, *basis_of(texts, weights, len(block) + 8), weights.value)))
+        parts = [own for _, _, own in block]
+        texts = [(x,) for own in parts for x in own]
+        basis = basis_of(spark.createDataFrame(texts, "text binary"), weights, len(texts) + 8)
+        shared.append(sc.broadcast(Index([(i, t) for i, t, _ in block], *basis, weights.value, parts)))
     schema = common.extended(kept.schema, "contaminated boolean, leaked_items array<long>, leak_share double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,3 +81,20 @@ def test_copies_from_a_benchmark_of_thousands(spark):
     docs = spark.createDataFrame([*rows, *((200 + i, " ".join(draw(100))) for i in range(300))], "doc_id long, text string").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, *r.leaked_items) for r in d.decontaminate(docs, bench).collect() if r.contaminated} == {(k, k * 10) for k in range(200)}
+
+
+def test_copies_of_long_and_short_items(spark):
+    rng = random.Random(6)
+    vocab = [f"word{i}" for i in range(3000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    sizes = [rng.randrange(250, 390) for _ in range(60)] + [rng.randrange(2, 12) for _ in range(60)] + [9000]
+    items = [(i, " ".join(draw(n))) for i, n in enumerate(sizes)] + [(900, "sole"), (901, "... !")]
+    rows, want = [], set()
+    for k, n in enumerate(sizes):  # long ones also reworded: each seventh word is another
+        own = [f"new{j}" if n > 99 and k % 2 and j % 7 == 3 else x for j, x in enumerate(items[k][1].split())]
+        rows.append((k, " ".join([*draw(40), *own, *draw(40)])))
+        want.add((k, k))
+    rows += [(500, "so sole, so"), (501, "solely"), *((502 + i, " ".join(draw(100))) for i in range(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, *r.leaked_items) for r in d.decontaminate(docs, bench).collect() if r.contaminated} == want | {(500, 900)}
