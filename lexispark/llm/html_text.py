@@ -6,7 +6,8 @@ important where pages differ: the entropy of the child sequences, to the base of
 important where it is the page's own: 1 - log(pages with it) / log(pages). A block's importance joins both, less the
 share of its text that is links; blocks under LEAST_IMPORTANCE go. Elements that say what they are need no statistics:
 navigation, page headers and footers, sidebars, notices, adverts, forms and comments go, and what an article or main
-element holds stays, however often it repeats on a site.
+element holds stays, however often it repeats on a site. A class name, id or role counts only if all of its words are names
+of such parts, and never against an article or main element on or around which it stands, other than inside an article.
 
 Scale: a page sends a pair of hashes for each block that is in question, counts combine on the map side, and only lists
 of blocks to remove return to the pages, which are parsed again where they are.
@@ -60,13 +61,13 @@ class Block:
 
 
 def _names(tag: str, attributes: str) -> tuple[str, set[str]]:
-    """How the style tree knows an element, and the words of its attributes."""
+    """How the style tree knows an element, and those tokens of its attributes (class names, id, role) that consist of words for asides only: cookie-notice does, search-methods does not."""
     if not attributes or "=" not in attributes:
         return tag, set()
     found = [(a.lower(), v.strip("\"'")) for a, v in ATTRIBUTE.findall(attributes)]
-    words = {w.lower() for _, v in found for w in WORD.findall(v)}
+    asides = {x for _, v in found for x in v.lower().split() if (own := WORD.findall(x)) and ASIDE_WORDS.issuperset(own)}
     style = ".".join(sorted(v for a, v in found if a == "class"))
-    return f"{tag}.{style}" if style else tag, words
+    return f"{tag}.{style}" if style else tag, asides
 
 
 def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
@@ -125,14 +126,14 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
                     break
         if tag in VOID:
             continue
-        name, words = _names(tag, m[4] or m[7] or "")
+        name, asides = _names(tag, m[4] or m[7] or "")
         _, path, keep, link = stack[-1]
         if tag in SKIPPED:
             own = False
-        elif words & ASIDE_WORDS and tag not in ("html", "body"):
-            own = False
-        elif tag in CONTENT_TAGS and (keep is not False or any(s[0] in ("nav", "header", "footer") for s in stack) and not any(s[0] in ("aside", "form", "dialog") for s in stack)):
+        elif tag in CONTENT_TAGS and (keep is not False or not {"aside", "form", "dialog"} & (around := {s[0] for s in stack}) and ("article" not in around or {"nav", "header", "footer"} & around)):
             own = True
+        elif asides and tag not in ("html", "body"):
+            own = False
         elif tag in ASIDE_TAGS or tag == "header" and keep is None:
             own = False
         else:

@@ -25,6 +25,16 @@ def test_broken_markup():
     assert plain("") == "" and plain("just text") == "just text"
 
 
+def test_listed_words_do_not_drop_articles():
+    assert plain("<article class='post comments-open'><p>a</p></article>") == "a"
+    assert plain("<article class='comments'><p>a</p></article>") == "a"
+    assert plain("<div class='content has-sidebar'><article><p>a</p></article></div>") == "a"
+    assert plain("<main><div class='widget'><article><p>a</p></article>b</div></main>") == "a"
+    assert plain("<article><h2 id='search-methods'>a</h2><section id='related-work'><p>b</p></section><div id='Related'>c</div></article>") == "a b"
+    assert plain("<article>a<ol class='comments'><li><article>first!</article></ol></article>") == "a"
+    assert plain("<aside><article>t</article></aside>b<div class='Cookie-Notice'>ok?</div>") == "b"
+
+
 def test_site_style_tree(spark):
     def page(i):
         return f"<html><body><div class=top><p>Welcome to the site</p></div><div class=body><p>Story number {i} tells of {i * 7}.</p><p>Second part {i * i}</p></div><div class=end><p>All rights reserved</p></div></body></html>"
