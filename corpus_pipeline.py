@@ -56,7 +56,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with their number and the digests of ids and decoded bytes."""
-    return bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER)).select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), keep_text=False).select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
