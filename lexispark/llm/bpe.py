@@ -16,14 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexispark.llm import common
 
@@ -242,42 +239,38 @@ def encode_texts(ranks: Ranks, texts: list[str]) -> list[np.ndarray]:
     return np.split(ids, bounds[:-1]) if len(texts) > 1 else [ids]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
-    """df with token_ids (array), n_tokens, byte_offsets (start of each id's bytes) and the digests of ids and decoded bytes.
+def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True, with_offsets: bool = False, keep_text: bool = True) -> DataFrame:
+    """df with n_tokens and the digests of ids and decoded bytes, and as asked for token_ids (array) and byte_offsets (start of each id's bytes).
 
     Added columns take the place of columns of the same names. A map over rows: nothing is shuffled.
     """
     common.tune(df.sparkSession)
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    if with_ids:
-        added += [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("byte_offsets", T.ArrayType(T.LongType(), False))]
-    names = {f.name for f in added}
-    rest = [f for f in df.schema.fields if f.name not in names and f.name != text]
-    kept = df.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text}`").alias(text))
-    source = kept.withColumn("_utf8", F.col(f"`{text}`").cast("binary"))
-    schema = T.StructType([*kept.schema.fields, *added])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else "") + (", byte_offsets array<long>" if with_offsets else "")
+
+    def start():
         ranks = ranks_of(path)
-        for table in common.chunks(batches, "_utf8"):
-            texts = [(x or b"").decode("utf-8", "replace") for x in table.column("_utf8").to_pylist()]
-            ids = encode_texts(ranks, texts)
-            columns: dict[str, list] = {f.name: [] for f in added}
+
+        def make(texts: list[bytes | None]) -> list[pa.Array]:
+            ids = encode_texts(ranks, common.decoded(texts))
+            digests, decoded, offsets = [], [], []
             for own in ids:
-                data, offsets = ranks.decode(own)
-                columns["n_tokens"].append(len(own))
-                columns["ids_sha256"].append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-                columns["decoded_sha256"].append(hashlib.sha256(data.tobytes()).hexdigest())
-                if with_ids:
-                    columns["token_ids"].append(own.astype(np.int32))
-                    columns["byte_offsets"].append(offsets)
-            kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "token_ids": pa.list_(pa.int32()), "byte_offsets": pa.list_(pa.int64())}
-            out = table.drop_columns(["_utf8"])
-            for f in added:
-                out = out.append_column(f.name, pa.array(columns[f.name], kinds[f.name]))
-            yield from out.to_batches()
-
-    return source.mapInArrow(run, schema)
+                data, at = ranks.decode(own)
+                digests.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(data.tobytes()).hexdigest())
+                if with_offsets:
+                    offsets.append(at)
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            columns = [pa.array(counts), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32))))
+            if with_offsets:
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(offsets).astype(np.int64))))
+            return columns
+
+        return make
+
+    return common.added_columns(df, text, ddl, start, keep_text)
 
 
 def decode_span(ranks: Ranks, ids: np.ndarray, start: int, stop: int) -> bytes:
@@ -293,4 +286,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on. Memory of a Python worker is a small multiple of it.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of groups after which a worker of a grouped function gives freed memory back.
+RELAX_BYTES = 32 << 20
 #: Rows up to which a small side is broadcast after being counted; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 24 << 20
@@ -35,11 +37,13 @@ def fmix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where none is set, a local one if all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_lexispark_dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             found = "file://" + tempfile.mkdtemp(prefix="lexispark-")
             spark.sparkContext._lexispark_dir = found
     return found.rstrip("/")
@@ -85,9 +89,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def quoted(column: str):
+    """The column of that name, whatever signs the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it a name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def binary(column: str = "text"):
     """Text as UTF-8 bytes: a worker then decides on its own what to do with bytes that are no UTF-8."""
-    return F.col(column).cast("binary").alias(column)
+    return quoted(column).cast("binary").alias(column)
 
 
 def relax() -> None:
@@ -98,6 +115,19 @@ def relax() -> None:
         trim(0)
 
 
+_grouped = 0
+
+
+def eased(group: pa.Table) -> pa.Table:
+    """The group of a grouped function; each RELAX_BYTES of groups, what earlier ones have freed is given back first."""
+    global _grouped
+    _grouped += group.nbytes
+    if _grouped > RELAX_BYTES:
+        _grouped = 0
+        relax()
+    return group
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup batches so that each holds about `limit` bytes of `column` (a longer single row stays whole)."""
     relax()
@@ -124,6 +154,37 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield pa.Table.from_batches(held)
 
 
+def added_columns(df: DataFrame, text: str, ddl: str, start: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], keep_text: bool = True) -> DataFrame:
+    """df with the columns of ddl, which start()(texts of a chunk) makes; columns of these names are replaced.
+
+    start runs once in each task. The text goes to the workers once, as bytes, under its own name (so no other column can
+    clash with it), and comes back only if it is kept. A map over rows: nothing is shuffled.
+    """
+    fields = T._parse_datatype_string(ddl).fields
+    names = {f.name.lower() for f in fields}
+    kept = [c for c in df.columns if c.lower() not in names]
+    if text not in kept:
+        raise ValueError(f"the column {text} would be replaced")
+    source = df.select(*[quoted(c).cast("binary").alias(c) if c == text else quoted(c) for c in kept])
+    schema = T.StructType([*(f for f in source.schema.fields if keep_text or f.name != text), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for chunk in chunks(batches, text):
+            out = chunk if keep_text else chunk.drop_columns([text])
+            for field, column in zip(fields, make(chunk.column(text).to_pylist()), strict=True):
+                out = out.append_column(field.name, column)
+            yield from out.to_batches()
+
+    mapped = source.mapInArrow(run, schema)
+    return mapped.withColumn(text, quoted(text).cast("string")) if keep_text else mapped
+
+
+def decoded(texts: list[bytes | None]) -> list[str]:
+    """Texts of a chunk; null counts as empty, bytes that are no UTF-8 become U+FFFD."""
+    return [(x or b"").decode("utf-8", "replace") for x in texts]
+
+
 def int64s(column: pa.ChunkedArray) -> np.ndarray:
     """A column of longs without nulls."""
     return column.cast(pa.int64()).to_numpy()

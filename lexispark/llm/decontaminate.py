@@ -352,8 +352,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     spark = common.tune(docs.sparkSession)
     sc = spark.sparkContext
     weights = sc.broadcast(document_weights(docs, text))
-    added = ["contaminated", "leaked_items", "leak_share"]
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added and (keep_text or c != text)])
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("item"))
     shared = []
     for block in blocks_of((r.id, r["item"]) for r in items.orderBy("id", "item").toLocalIterator()):
@@ -361,17 +359,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         texts = [(x,) for own in parts for x in own]
         basis = basis_of(spark.createDataFrame(texts, "text binary"), weights, len(texts) + 8)
         shared.append(sc.broadcast(Index([(i, t) for i, t, _ in block], *basis, weights.value, parts)))
-    schema = common.extended(kept.schema, "contaminated boolean, leaked_items array<long>, leak_share double")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.chunks(batches, "_utf8"):
-            found = judged(table.column("_utf8").to_pylist(), weights, shared)
-            out = table.drop_columns(["_utf8"]).append_column("contaminated", pa.array([bool(f) for f in found], pa.bool_()))
-            out = out.append_column("leaked_items", pa.array([sorted(f) for f in found], pa.list_(pa.int64()))).append_column("leak_share", pa.array([max(f.values(), default=0.0) for f in found], pa.float64()))
-            yield from out.to_batches()
+    def start():
+        def make(texts: list[bytes | None]) -> list[pa.Array]:
+            found = judged(texts, weights, shared)
+            shares = [max(f.values(), default=0.0) for f in found]
+            return [pa.array([bool(f) for f in found], pa.bool_()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array(shares, pa.float64())]
 
-    source = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text}`").cast("binary").alias("_utf8"))
-    return source.mapInArrow(judge, schema)
+        return make
+
+    return common.added_columns(docs, text, "contaminated boolean, leaked_items array<long>, leak_share double", start, keep_text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

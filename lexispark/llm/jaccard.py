@@ -168,6 +168,7 @@ def _scan(docs: DataFrame, n: int, n_buckets: int, text: str, doc_id: str) -> Da
 
 def _match(bucket: pa.Table) -> pa.Table:
     """Of one bucket, kind 0: pairs (a < b) of blocks that few share; kind 1: entries (key, a) of hot blocks with their margins."""
+    bucket = common.eased(bucket)
     sets = common.gather(bucket.column("sets").to_pylist(), np.int64)
     counts = common.gather(bucket.column("counts").to_pylist(), np.int32)
     keys = common.gather(bucket.column("keys").to_pylist(), np.uint32).astype(U64) | U64(bucket.column("bucket")[0].as_py() << 32)
@@ -240,6 +241,7 @@ def _within_clusters(clusters: DataFrame, named: DataFrame, nearest: bool) -> Da
     sent = stops.join(members, ["cluster", "step", "part"]).select("cluster", "first", "second", F.expr("first.step = step and first.part = part").alias("left"), "h", "size", "sketch", "component")
 
     def compare(group: pa.Table) -> pa.Table:
+        group = common.eased(group)
         left = group.column("left").to_numpy(zero_copy_only=False)
         h, size, component = (group.column(c).to_numpy() for c in ("h", "size", "component"))
         raw = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
@@ -295,6 +297,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, text:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "part", "h", "rep", "shingles"])
 
     def compare(group: pa.Table) -> pa.Table:
+        group = common.eased(group)
         leader = group.column("a")[0].as_py()
         hs, reps_, sets = (group.column(c).to_pylist() for c in ("h", "rep", "shingles"))
         links = []

@@ -141,6 +141,7 @@ def _by_document(ids: np.ndarray, values: np.ndarray) -> pa.Table:
 
 def _shared_anchors(part: pa.Table) -> pa.Table:
     """(doc_id, low halves of its anchors that another document has too)."""
+    part = common.eased(part)
     ids, keys, flags = _read(part, False)
     order, start, times, several = _distinct(keys, ids)
     live = np.repeat(several, times)
@@ -153,6 +154,7 @@ def _shared_anchors(part: pa.Table) -> pa.Table:
 
 def _repeated_windows(part: pa.Table) -> pa.Table:
     """(doc_id, starts of its windows that a smaller document has)."""
+    part = common.eased(part)
     ids, keys, places = _read(part, False)
     order, start, times, _ = _distinct(keys, ids)
     cut = ids[order] > np.repeat(ids[order][start], times) if len(order) else np.zeros(0, bool)
@@ -161,7 +163,7 @@ def _repeated_windows(part: pa.Table) -> pa.Table:
 
 
 def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
+    return docs.select(common.quoted(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
 
 
 def _united(found: DataFrame, name: str, window: int = 0) -> DataFrame:
@@ -226,21 +228,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     in docs are replaced. digests_only leaves text and spans out.
     """
     added = ["n_words", "n_removed", "kept_sha256", "repeats"]
-    rest = [c for c in docs.columns if c not in added and c != text]
     repeats = repeated_windows(docs, window, gram, text, doc_id)
-    wanted = common.sized(repeats.withColumnRenamed("found", "_found").withColumnRenamed("found_id", "_found_id"), blob="_found")
-    kept = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(text))
-    source = kept.join(wanted, F.col(f"`{doc_id}`").cast("long") == F.col("_found_id"), "left").drop("_found_id").withColumn("_utf8", F.col(f"`{text}`").cast("binary"))
-    carried = kept.select(*[F.col(f"`{c}`") for c in rest]) if digests_only else kept
+    at, spans_of = common.free_name(docs, "found_id"), common.free_name(docs, "found")
+    wanted = common.sized(repeats.select(F.col("found_id").alias(at), F.col("found").alias(spans_of)), blob=spans_of)
+    kept = docs.select(*[common.binary(c) if c == text else common.quoted(c) for c in docs.columns if c == text or c.lower() not in added])
+    source = kept.join(wanted, common.quoted(doc_id).cast("long") == F.col(at), "left").drop(at)
+    carried = kept.drop(text) if digests_only else kept
     extra = "n_words long, n_removed long, kept_sha256 string" + ("" if digests_only else ", repeats array<struct<start: long, stop: long>>")
     schema = common.extended(carried.schema, extra)
-    if digests_only:
-        source = source.drop(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.chunks(batches, "_utf8"):
+        for table in common.chunks(batches, text):
             n_words, n_removed, digest, spans, texts = [], [], [], [], []
-            for raw, blobs in zip(table.column("_utf8").to_pylist(), table.column("_found").to_pylist(), strict=True):
+            for raw, blobs in zip(table.column(text).to_pylist(), table.column(spans_of).to_pylist(), strict=True):
                 words = (raw or b"").split()
                 gone, new = [], raw
                 if blobs:
@@ -259,16 +259,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
                 n_words.append(len(words))
                 if not digests_only:
                     spans.append([{"start": a, "stop": b} for a, b in gone])
-                    texts.append(None if new is None else new.decode("utf-8", "replace"))
-            out = table.drop_columns(["_utf8", "_found"])
-            if not digests_only:
-                out = out.set_column(out.column_names.index(text), text, pa.array(texts, pa.string()))
+                    texts.append(new)
+            out = table.drop_columns([spans_of])
+            out = out.drop_columns([text]) if digests_only else out.set_column(out.column_names.index(text), text, pa.array(texts, pa.binary()))
             out = out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64())).append_column("kept_sha256", pa.array(digest, pa.string()))
             if not digests_only:
                 out = out.append_column("repeats", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))
             yield from out.to_batches()
 
-    return source.mapInArrow(cut, schema)
+    mapped = source.mapInArrow(cut, schema)
+    return mapped if digests_only else mapped.withColumn(text, common.quoted(text).cast("string"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -188,23 +188,25 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return inputs, Machine(len(best)).fit(sets, np.array([r.label for r in rows], float))
 
 
-def score(docs: DataFrame, learned: tuple[np.ndarray, Machine] | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, learned: tuple[np.ndarray, Machine] | None, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """docs with score and predicted; a map over rows."""
     spark = common.tune(docs.sparkSession)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
     if learned is None:
-        return kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        kept = [common.quoted(c) for c in docs.columns if c.lower() not in ("score", "predicted") and (keep_text or c != text)]
+        return docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = spark.sparkContext.broadcast(learned)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         inputs, machine = shared.value
         terms = Terms(inputs)
-        for table in common.chunks(batches, "_utf8"):
-            own = machine.score(terms.of([(x or b"").decode("utf-8", "replace") for x in table.column("_utf8").to_pylist()]))
-            out = table.drop_columns(["_utf8"]).append_column("score", pa.array(own)).append_column("predicted", pa.array((own >= threshold).astype(np.int32)))
-            yield from out.to_batches()
 
-    return kept.withColumn("_utf8", F.col(f"`{text}`").cast("binary")).mapInArrow(run, common.extended(kept.schema, "score double, predicted int"))
+        def make(texts: list[bytes | None]) -> list[pa.Array]:
+            own = machine.score(terms.of(common.decoded(texts)))
+            return [pa.array(own), pa.array((own >= threshold).astype(np.int32))]
+
+        return make
+
+    return common.added_columns(docs, text, "score double, predicted int", start, keep_text)
 
 
 def fold(column: str = "doc_id", parts: int = 4):
@@ -218,4 +220,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold() != 2)
     learned = learn(docs, labels)
     held = F.coalesce(fold() == 2, F.lit(False)).alias("held_out")
-    return score(docs.select("doc_id", held, "text"), learned).select("doc_id", "held_out", "score", "predicted")
+    return score(docs.select("doc_id", held, "text"), learned, keep_text=False).select("doc_id", "held_out", "score", "predicted")
