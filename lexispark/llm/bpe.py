@@ -160,7 +160,7 @@ class Ranks:
         self.lengths = np.fromiter(map(len, pieces), np.int64, size)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        self.cache = common.Lists(CACHE_PIECES)
+        self.cache = common.Cache(CACHE_PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of least rank, leftmost first, is joined until none is in the vocabulary."""
@@ -207,10 +207,6 @@ class Ranks:
                 heapq.heappush(heap, (r, h, stop))
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces end to end, and the number of ids of each."""
-        return self.cache.take(pieces, lambda new: [self.merge(piece.encode("utf-8", "surrogatepass")) for piece in new])
-
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids end to end, and where the bytes of each id start."""
         lengths = self.lengths[ids]
@@ -222,21 +218,27 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-def encode_texts(ranks: Ranks, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text."""
-    joined = "\n".join(texts) + "\n"
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+def encode_texts(ranks: Ranks, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and the number of ids of each."""
+    joined, codes, ends = common.code_points(texts)
+    codes = codes.copy()
     codes[ends] = 0x110000
     at = boundaries(codes)
     marks = np.searchsorted(at, ends)  # the end marks among the tokens
     keep = np.ones(len(at), bool)
     keep[marks] = False
-    stops = np.append(at[1:], len(codes))
-    pieces = [joined[i:j] for i, j in zip(at[keep].tolist(), stops[keep].tolist(), strict=True)]
-    ids, counts = ranks.encode(pieces)
+    starts, stops = at[keep], np.append(at[1:], len(codes))[keep]
+    slices = lambda new: zip(starts[new].tolist(), stops[new].tolist(), strict=True)
+    merged = lambda new: common.end_to_end([ranks.merge(joined[i:j].encode("utf-8", "surrogatepass")) for i, j in slices(new)])
+    ids, counts = ranks.cache.take(common.slice_hashes(codes, starts, stops - starts), merged)
     bounds = np.concatenate([[0], np.cumsum(counts)])[marks - np.arange(len(marks))]
-    return np.split(ids, bounds[:-1]) if len(texts) > 1 else [ids]
+    return ids, np.diff(bounds, prepend=0)
+
+
+def shas(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """SHA-256 of each stretch of the values' bytes."""
+    view = memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else memoryview(b"")
+    return pa.array([hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], pa.string())
 
 
 def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True, with_offsets: bool = False, keep_text: bool = True) -> DataFrame:
@@ -251,21 +253,17 @@ def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True,
         ranks = ranks_of(path)
 
         def make(texts: list[bytes | None]) -> list[pa.Array]:
-            ids = encode_texts(ranks, common.decoded(texts))
-            digests, decoded, offsets = [], [], []
-            for own in ids:
-                data, at = ranks.decode(own)
-                digests.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(data.tobytes()).hexdigest())
-                if with_offsets:
-                    offsets.append(at)
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-            columns = [pa.array(counts), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            ids, counts = encode_texts(ranks, common.decoded(texts))
+            data, at = ranks.decode(ids)
+            ends = np.cumsum(counts)
+            places = np.append(at, len(data))
+            digests = shas(ids.astype("<u4"), 4 * (ends - counts), 4 * ends)
+            columns = [pa.array(counts), digests, shas(data, places[ends - counts], places[ends])]
+            edges = pa.array(np.append(0, ends), pa.int32())
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32))))
+                columns.append(pa.ListArray.from_arrays(edges, pa.array(ids.astype(np.int32))))
             if with_offsets:
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(offsets).astype(np.int64))))
+                columns.append(pa.ListArray.from_arrays(edges, pa.array((at - np.repeat(places[ends - counts], counts)).astype(np.int64))))
             return columns
 
         return make

@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -261,45 +263,205 @@ def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)]
 
 
-class Lists:
-    """A cache from strings to lists of ids, with the lists end to end in one array. It starts anew beyond `most` entries."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.clear()
+BLOCK_SPAN = 1 << 20
+PIECE_BASE = 0xD1342543DE82EF95
+
+
+@lru_cache(1)
+def _piece_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to BLOCK_SPAN - 1 of the base of slices' hashes and of its inverse, modulo 2^64."""
+    bases = PIECE_BASE, pow(PIECE_BASE, -1, 1 << 64)
+    up, down = (np.cumprod(np.concatenate([[U64(1)], np.full(BLOCK_SPAN - 1, b, U64)]), dtype=U64) for b in bases)
+    return up, down
+
+
+def slice_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hash of each slice values[start : start + length] of small whole numbers; starts ascend. No string is made of any slice."""
+    up, down = _piece_powers()
+    out = np.empty(len(starts), U64)
+    ends = starts + lengths
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + BLOCK_SPAN, side="right"))
+        if j <= i:  # a slice longer than a block
+            part = np.ascontiguousarray(values[base : int(ends[i])], np.uint32)
+            out[i] = xxhash.xxh64_intdigest(part.tobytes())
+            i += 1
+            continue
+        part = values[base : int(ends[j - 1])].astype(U64)
+        part += U64(1)
+        part *= up[: len(part)]
+        total = np.empty(len(part) + 1, U64)
+        total[0] = 0
+        np.cumsum(part, out=total[1:])
+        at = starts[i:j] - base
+        out[i:j] = fmix((total[ends[i:j] - base] - total[at]) * down[at] + lengths[i:j].astype(U64) * M1)
+        i = j
+    return out
+
+
+class Keys:
+    """Numbers 0, 1, ... for 64-bit hashes: an open table that whole arrays of hashes are looked up in."""
+
+    def __init__(self, bits: int = 15):
+        self.count = 0
+        self._make(bits)
+
+    def _make(self, bits: int) -> None:
+        self.bits = bits
+        self.hashes, self.numbers = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those that have none."""
+        out = np.full(len(hashes), -1, np.int64)
+        mask = (1 << self.bits) - 1
+        slot = (hashes >> U64(64 - self.bits)).astype(np.int64)
+        number = self.numbers[slot]
+        hit = self.hashes[slot] == hashes
+        hit &= number >= 0
+        out[hit] = number[hit]
+        open_ = np.flatnonzero((number >= 0) & ~hit)
+        slot = slot[open_]
+        while len(open_):
+            slot = slot + 1 & mask
+            number = self.numbers[slot]
+            hit = (self.hashes[slot] == hashes[open_]) & (number >= 0)
+            out[open_[hit]] = number[hit]
+            go = (number >= 0) & ~hit
+            open_, slot = open_[go], slot[go]
+        return out
+
+    def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot = (hashes >> U64(64 - self.bits)).astype(np.int64)
+        while len(hashes):
+            free = self.numbers[slot] < 0
+            self.numbers[slot[free]] = numbers[free]
+            self.hashes[slot[free]] = hashes[free]
+            left = self.numbers[slot] != numbers
+            hashes, numbers, slot = hashes[left], numbers[left], slot[left] + 1 & mask
+
+    def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each hash, and for each new number, in order, a place where its hash stands."""
+        at = self.find(hashes)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at, missing
+        new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        numbers = np.arange(self.count, self.count + len(new), dtype=np.int32)
+        at[missing] = numbers[inverse]
+        if 2 * (self.count + len(new)) > 1 << self.bits:
+            some = self.numbers >= 0
+            old = self.hashes[some], self.numbers[some]
+            self._make(int(2 * (self.count + len(new)) - 1).bit_length() + 1)
+            self._insert(*old)
+        self._insert(new, numbers)
+        self.count += len(new)
+        return at, missing[first]
+
+
+class Cache:
+    """Lists of numbers (or rows of `width` numbers) by hash, end to end in one array.
+
+    Beyond `most` entries a new generation begins; entries of the one before that are met again move over, so frequent
+    ones are never made twice.
+    """
 
-    def clear(self) -> None:
-        self.index: dict = {}
-        self.ids = np.zeros(1 << 12, np.uint32)
-        self.starts = np.zeros(1 << 10, np.int64)
+    def __init__(self, most: int, dtype=np.uint32, width: int = 0):
+        self.most, self.dtype, self.width = most, dtype, width
+        self.old: Cache | None = None
+        self.keys = Keys()
+        self.values = np.zeros((1 << 10, width) if width else 1 << 12, dtype)
+        self.starts, self.lengths = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
         self.used = 0
 
     def _room(self, name: str, size: int) -> None:
         have = getattr(self, name)
         if len(have) < size:
-            setattr(self, name, np.concatenate([have, np.zeros(max(size, 2 * len(have)) - len(have), have.dtype)]))
-
-    def add(self, keys: list, lists: list) -> None:
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        n, more = len(self.index), int(counts.sum())
-        self._room("ids", self.used + more)
-        self._room("starts", n + len(keys) + 1)
-        self.ids[self.used : self.used + more] = np.fromiter((i for x in lists for i in x), np.uint32, more)
-        self.starts[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(counts)
-        self.used += more
-        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
-
-    def take(self, keys: list, make) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all keys end to end, and how many each has; make(new keys) gives the lists of those that are not there yet."""
-        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            if len(self.index) > self.most:
-                self.clear()
-                missing = range(len(keys))
-            new = list({keys[i] for i in missing})
-            self.add(new, make(new))
-            at[missing] = [self.index[keys[i]] for i in missing]
-        starts = self.starts[at]
-        counts = self.starts[at + 1] - starts
-        return spread(self.ids, starts, counts), counts
+            setattr(self, name, np.concatenate([have, np.zeros((max(size, 2 * len(have)) - len(have), *have.shape[1:]), have.dtype)]))
+
+    def _append(self, numbers: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> None:
+        self._room("values", self.used + len(values))
+        self.values[self.used : self.used + len(values)] = values
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.used += len(values)
+
+    def numbers(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The entry of each hash. make(places in hashes) gives (lists end to end, their lengths) of those that are in neither generation."""
+        if self.keys.count > self.most:
+            kept = Cache.__new__(Cache)
+            kept.__dict__ = self.__dict__ | {"old": None}
+            self.__init__(self.most, self.dtype, self.width)
+            self.old = kept
+        had = self.keys.count
+        at, new = self.keys.number(hashes)
+        if len(new):
+            numbers = np.arange(had, had + len(new))
+            self._room("starts", had + len(new))
+            self._room("lengths", had + len(new))
+            ask = np.ones(len(new), bool)
+            if self.old is not None:
+                before = self.old.keys.find(hashes[new])
+                ask = before < 0
+                before = before[~ask]
+                lengths = self.old.lengths[before].astype(np.int64)
+                self._append(numbers[~ask], spread(self.old.values, self.old.starts[before], lengths), lengths)
+            if ask.any():
+                try:
+                    made = make(new[ask])
+                except BaseException:  # a task that fails must not leave numbers without lists to the worker's next one
+                    self.__init__(self.most, self.dtype, self.width)
+                    raise
+                self._append(numbers[ask], *made)
+        return at
+
+    def take(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of all hashes end to end, and the length of each."""
+        at = self.numbers(hashes, make)
+        counts = self.lengths[at].astype(np.int64)
+        return spread(self.values, self.starts[at], counts), counts
+
+
+def end_to_end(lists: list[list[int]], dtype=np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """What a cache takes: all lists in one array, and their lengths."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype, int(counts.sum())), counts
+
+
+def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """(texts, each with a line feed after it; their code points; places of those line feeds)."""
+    joined = "\n".join(texts) + "\n"
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
+    return joined, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), ends
+
+
+LETTER, MARK = 1, 2
+
+
+@lru_cache(1)
+def letter_table() -> np.ndarray:
+    """LETTER or MARK for code points of these general categories, else 0."""
+    kinds = {"L": LETTER, "M": MARK}
+    return np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+
+
+def letter_runs(texts: list[str], marks: bool = False) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined texts, starts, lengths, hashes, numbers by text) of all runs of letters; with marks, a run goes on over combining marks after its first letter."""
+    joined, codes, ends = code_points(texts)
+    kind = letter_table()[codes]
+    inside = kind > 0 if marks else kind == LETTER
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, stops = edge[::2], edge[1::2]
+    if marks and len(starts):
+        odd = np.flatnonzero(kind[starts] == MARK)
+        if len(odd):
+            letters = np.flatnonzero(kind == LETTER)
+            starts = starts.copy()
+            starts[odd] = np.append(letters, len(codes))[np.searchsorted(letters, starts[odd])]
+            some = starts < stops
+            starts, stops = starts[some], stops[some]
+    lengths = stops - starts
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    return joined, starts, lengths, slice_hashes(codes, starts, lengths), counts

@@ -35,8 +35,8 @@ MAGIC, VERSION = b"PFOR", 1
 PERCENTILE = 0.9
 #: Ids of a segment, about.
 SEGMENT_IDS = 1 << 20
-#: Pieces and words that a worker keeps.
-CACHE_WORDS, CACHE_PARTS = 500_000, 150_000
+#: Pieces and words of a generation of a worker's caches.
+CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
 
 
 def _bit_length(values: np.ndarray) -> np.ndarray:
@@ -145,9 +145,18 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarra
     return decode_ids(body[8 + 13 * n :]), [d if k else None for d, k in zip(plain.tolist(), known.tolist(), strict=True)], counts
 
 
-#: The alternatives of the tokenizer's own pre-tokenisation, for texts of printable ASCII and the Latin letters below only.
-PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9]+")
-PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]+")  # no composition, no change of length by lower case, no blanks
+#: Texts that the tokenizer's normalisation leaves alone but for lower case of the same length: printable ASCII and the Latin letters below.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ž]+")
+
+
+@lru_cache(1)
+def part_kinds() -> np.ndarray:
+    """Kinds of signs of plain pieces in lower case: 0 blank, 1 letter, 2 digit, 3 other. Runs of letters and of others, and each digit, are a word to the tokenizer."""
+    kinds = np.full(0x180, 3, np.uint8)
+    kinds[[*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x180)]] = 1
+    kinds[ord("0") : ord("9") + 1] = 2
+    kinds[0x20] = 0
+    return kinds
 
 
 def byte_letters() -> list[str]:
@@ -157,19 +166,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(more)) for b in range(256)]
 
 
-def folded(text: str) -> str:
-    """text with A-Z in lower case where that changes nothing for a tokenizer that composes first and lower-cases then: nothing is left to compose. (Of capitals that compose only as such there is I with a dot, whose lower case comes apart again.)"""
-    if text.isascii():
-        return text.lower()
-    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    return low if unicodedata.is_normalized("NFC", low) else text
+def folded(raw: bytes) -> bytes:
+    """raw (UTF-8) with A-Z in lower case where that changes nothing for a tokenizer that composes first and lower-cases then: nothing is left to compose. (Of capitals that compose only as such there is I with a dot, whose lower case comes apart again.)"""
+    low = raw.lower()
+    return low if raw.isascii() or unicodedata.is_normalized("NFC", low.decode()) else raw
 
 
 class Words:
     """The tokenizer with a cache of pieces between blanks. No token of this vocabulary crosses a blank or line feed, so pieces are encoded one by one.
 
-    Pieces of plain Latin text are cut into words and signs here, as the tokenizer would, and only new words reach its
-    model; any other piece goes through the whole tokenizer.
+    New pieces of plain Latin text are cut into words and signs here, as the tokenizer would, and only new words reach its
+    model. Any other piece goes through the whole tokenizer, and so does, uncut, a text that holds a special token.
     """
 
     def __init__(self, path: str):
@@ -179,47 +186,74 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.cache = common.Lists(CACHE_WORDS)
-        self.parts: dict[str, list[int]] = {}
-
-    def _part(self, part: str) -> list[int]:
-        if (ids := self.parts.get(part)) is None:
-            text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
-        return ids
-
-    def _make(self, pieces: list[str]) -> list[list[int]]:
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        out: list = [None] * len(pieces)
-        rest = []
-        for i, piece in enumerate(pieces):
-            if PLAIN.fullmatch(piece):
-                parts = PLAIN_PARTS.findall(piece.lower())
-                out[i] = self._part(parts[0]) if len(parts) == 1 else [x for part in parts for x in self._part(part)]
-            else:
-                rest.append(i)
-        for a in range(0, len(rest), 4096):
-            some = rest[a : a + 4096]
-            for i, got in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = got.ids
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.marks = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache, self.words = common.Cache(CACHE_PIECES), common.Cache(CACHE_WORDS)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [got.ids for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces end to end, and the number of ids of each."""
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        text = (" ".join(pieces) + " ").lower()
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = part_kinds()[codes]
+        begins = (kind > 0) & ((kind != np.concatenate([[0], kind[:-1]])) | (kind == 2))
+        starts, edges = np.flatnonzero(begins), np.flatnonzero(begins | (kind == 0))
+        stops = edges[np.searchsorted(edges, starts, side="right")]
+        make = lambda new: common.end_to_end([self._word(text[i:j]) for i, j in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+        ids, counts = self.words.take(common.slice_hashes(codes, starts, stops - starts), make)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.cumsum(begins)[kind == 0]], prepend=0)
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of one word in lower case, by the library's model."""
+        return [t.id for t in self.model.tokenize(word if word.isascii() else "".join([self.letters[b] for b in word.encode()]))]
+
+    def _make(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((PLAIN.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+        if plain.all():
+            return self._plain(pieces)
+        first, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        made = [self._plain([pieces[i] for i in first.tolist()]), common.end_to_end(self._library([pieces[i] for i in rest.tolist()]))]
+        counts = np.zeros(len(pieces), np.int64)
+        begins = np.zeros(len(pieces), np.int64)
+        before = 0
+        for where, (ids, own) in zip((first, rest), made, strict=True):
+            counts[where] = own
+            begins[where] = before + np.cumsum(own) - own
+            before += len(ids)
+        return common.spread(np.concatenate([ids for ids, _ in made]), begins, counts), counts
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and the number of ids of each."""
-        pieces: list[str] = []
-        per_text = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = folded(text).replace("\n", " ").split(" ")
-            per_text[i] = len(own)
-            pieces += own
-        ids, counts = self.cache.take(pieces, self._make)
-        ends = np.cumsum(per_text)
-        totals = np.concatenate([[0], np.cumsum(counts)])
-        return ids, totals[ends] - totals[ends - per_text]
+        raw = [x or b"" for x in texts]
+        joined = b"\n".join(raw) + b"\n"
+        try:
+            whole = folded(joined)
+        except UnicodeDecodeError:
+            raw = [x.decode("utf-8", "replace").encode() for x in raw]
+            joined = b"\n".join(raw) + b"\n"
+            whole = folded(joined)
+        if whole is joined and whole != joined.lower():
+            whole = b"\n".join([folded(x) for x in raw]) + b"\n"
+        special = [i for i, x in enumerate(raw) if any(m in x for m in self.marks)] if any(m in joined for m in self.marks) else []
+        data = np.frombuffer(whole, np.uint8)
+        stops = np.flatnonzero((data == 32) | (data == 10))
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        some = stops > starts
+        starts, stops = starts[some], stops[some]
+        make = lambda new: self._make([whole[i:j].decode() for i, j in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+        ids, counts = self.cache.take(common.slice_hashes(data, starts, stops - starts), make)
+        ends = np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw))) - 1
+        totals = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, ends)]
+        if special:
+            parts = np.split(ids, totals[:-1])
+            for i, own in zip(special, self._library([raw[i].decode() for i in special]), strict=True):
+                parts[i] = np.array(own, np.uint32)
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, np.diff(totals, prepend=0)
 
 
 @lru_cache(2)
@@ -240,7 +274,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, te
     """Write segments of docs to path: (shard, segment, n_docs, n_tokens, data)."""
     spark = common.tune(docs.sparkSession)
     parts = common.bucket_count(common.input_bytes(docs), 8 << 20, least=8)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
+    source = docs.select(common.quoted(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
     ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +286,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, te
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_docs": pa.array([len(docs_)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "data": pa.array([encode_segment(ids, docs_, counts)], pa.binary())})
 
         for table in common.chunks(batches):
-            ids, counts = words.encode([(x or b"").decode("utf-8", "replace") for x in table.column("text").to_pylist()])
+            ids, counts = words.encode(table.column("text").to_pylist())
             ids, counts = with_end(ids, counts, end_id)
             held.append((ids, table.column("doc_id").to_pylist(), counts))
             if sum(len(h[0]) for h in held) >= SEGMENT_IDS:

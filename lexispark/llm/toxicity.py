@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,6 @@ EPOCHS = 12
 LEAST_G = 12.0
 THRESHOLD = 0.3
 CACHE_RUNS = 200_000
-RUNS = regex.compile(r"\p{L}+")
 SLICES = 16
 
 
@@ -52,22 +50,18 @@ class Terms:
     """Distinct inputs of texts, with a cache by run. inputs maps places to input numbers; -1 is no input."""
 
     def __init__(self, inputs: np.ndarray):
-        self.inputs, self.cache = inputs, common.Lists(CACHE_RUNS)
-
-    def _inputs(self, runs: list[str]) -> list[list[int]]:
-        return [[x for x in self.inputs[terms_of(run)].tolist() if x >= 0] for run in runs]
+        self.inputs, self.cache = inputs, common.Cache(CACHE_RUNS)
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        runs: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = RUNS.findall(text.lower())
-            counts[i] = len(own)
-            runs += own
-        ids, times = self.cache.take(runs, self._inputs)
+        if not texts:
+            return []
+        joined, starts, lengths, hashes, counts = common.letter_runs([t.lower() for t in texts])
+        inputs = lambda run: [x for x in self.inputs[terms_of(run)].tolist() if x >= 0]
+        make = lambda new: common.end_to_end([inputs(joined[i : i + n]) for i, n in zip(starts[new].tolist(), lengths[new].tolist(), strict=True)])
+        ids, times = self.cache.take(hashes, make)
         doc = np.repeat(np.repeat(np.arange(len(texts)), counts), times)
         both = np.unique(doc << 32 | ids.astype(np.int64))
-        return np.split(both & 0xFFFFFFFF, np.searchsorted(both >> 32, np.arange(1, len(texts)))) if texts else []
+        return np.split(both & 0xFFFFFFFF, np.searchsorted(both >> 32, np.arange(1, len(texts))))
 
 
 class Machine:
@@ -144,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         terms, counts, totals = Terms(np.arange(size)), np.zeros((2, size), np.int64), np.zeros(2, np.int64)
         for table in common.chunks(batches):
             own = table.column("label").to_numpy()
-            sets = terms.of([(x or b"").decode("utf-8", "replace") for x in table.column("text").to_pylist()])
+            sets = terms.of(common.decoded(table.column("text").to_pylist()))
             for y in (0, 1):
                 mine = [s for s, l in zip(sets, own, strict=True) if l == y]
                 totals[y] += len(mine)
@@ -178,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def inputs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(shared.value)
         for table in common.chunks(batches):
-            sets = terms.of([(x or b"").decode("utf-8", "replace") for x in table.column("text").to_pylist()])
+            sets = terms.of(common.decoded(table.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([table.column("label").combine_chunks(), pa.array([s.astype(np.int32).tobytes() for s in sets], pa.binary())], names=["label", "inputs"])
 
     share = min(1.0, 1.2 * SAMPLE_ROWS / int(totals.sum()))  # a bounded sample to fit on, by a hash of the text
