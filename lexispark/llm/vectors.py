@@ -6,14 +6,15 @@ between two centroids, a vector within reach can lie; there, a table of partial
 to each code, and items within reach plus their own coding error are candidates. Both tests are exact bounds, so probes
 and tables lose nothing (a slack covers rounding), and candidates are ranked by cosine in double precision.
 
-Scale: cells (at most MAX_CELLS) and codebooks are fitted on at most SAMPLE vectors, so they are of bounded size, yet
-every vector is indexed and searched. Items of a label and cell are dealt to blocks of BLOCK; a query meets its own cell
-and those after it, so a pair meets once. A block answers with each vector's number of links and a forest that connects
+Scale: cells grow with the data (up to MAX_CELLS, each for some CELL vectors of a label) and are fitted, like the
+codebooks, on SAMPLE vectors or CELL_SAMPLE for each cell; every vector is indexed and searched. Beyond MAX_CELLS cells get
+fuller and time grows faster than the data, memory does not: items of a label and cell are dealt to blocks of BLOCK, and
+distances to cells are taken for SLICE vectors at a time. A query meets its own cell and those after it, so a pair meets once. A block answers with each vector's number of links and a forest that connects
 what is linked in it, never with the pairs themselves; copies are never expanded.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without label, link with
-nothing; vectors of different length do not link; rows with equal ids are kept, and link as if ids differed; rows
-without an id are answered with nulls.
+nothing; vectors of different length do not link; rows with equal ids are kept, and link as if ids differed (a class is
+known by a hash of label and vector, not by an id); rows without an id link with nothing and have no component.
 """
 
 from __future__ import annotations
@@ -28,12 +29,15 @@ from lexispark.llm.components import components
 
 LEAST_COSINE = 0.93
 SAMPLE = 8000
-MAX_CELLS = 1024
+MAX_CELLS = 4096
+CELL_SAMPLE = 8
 #: Vectors that a cell of one label should hold, and those of one block.
 CELL, BLOCK = 4000, 2048
 SUBSPACE = 4
 CODES = 64
 SLACK = 1e-4
+#: Vectors whose distances to all cells are held at once.
+SLICE = 1024
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -85,10 +89,16 @@ class Quantiser:
 
     def probes(self, points: np.ndarray, own: np.ndarray, reach: float) -> np.ndarray:
         """True for (point, cell) if a vector of that cell can lie within reach of the point."""
-        points = self.pad(points)
-        squared = (points**2).sum(1)[:, None] + (self.cells**2).sum(1) - 2 * points @ self.cells.T
-        apart = np.sqrt(np.maximum(((self.cells[own][:, None, :] - self.cells[None]) ** 2).sum(2), 1e-12))
-        return (squared - squared[np.arange(len(points)), own][:, None]) / (2 * apart) <= reach + SLACK
+        points, length = self.pad(points), (self.cells.astype(np.float64) ** 2).sum(1)
+        out = np.empty((len(points), len(self.cells)), bool)
+        for i in range(0, len(points), SLICE):
+            part, mine = points[i : i + SLICE].astype(np.float64), own[i : i + SLICE]
+            farther = length - 2 * part @ self.cells.T  # squared distances, less what all cells share
+            farther -= farther[np.arange(len(part)), mine][:, None]
+            used, which = np.unique(mine, return_inverse=True)
+            apart = np.sqrt(np.maximum(length[used][:, None] + length - 2 * self.cells[used].astype(np.float64) @ self.cells.T, 1e-12))
+            out[i : i + SLICE] = farther <= 2 * (reach + SLACK) * apart[which]
+        return out
 
     def distances(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of one query to the items of a cell, by table look-up."""
@@ -106,7 +116,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def classes_of(df: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): every row with the key of its class (null if it links with nothing), and classes with their least id, size and vector."""
+    """(rows, classes): every row with the key of its class (null if it links with nothing), and classes with a node (a hash of label and vector), least id, size and vector."""
     schema = "row_id long, label long, vector binary, size int"
 
     def clean(batches):
@@ -121,15 +131,15 @@ def classes_of(df: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[
                 sizes.append(None if x is None else len(x))
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("label"), pa.array(blobs, pa.binary()), pa.array(sizes, pa.int32())], names=["row_id", "label", "vector", "size"])
 
-    source = df.select(F.col(vec_id).cast("long").alias("row_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
+    source = df.select(common.quoted(vec_id).cast("long").alias("row_id"), common.quoted(label).cast("long").alias("label"), common.quoted(embedding).cast("array<double>").alias("v"))
     rows = source.mapInArrow(clean, schema).withColumn("key", F.when(F.col("label").isNotNull() & F.col("row_id").isNotNull(), F.sha2(F.col("vector"), 256)))
     rows = common.table(rows, "rows")
-    classes = rows.where("key is not null").groupBy("label", "key").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("size").alias("size"))
+    classes = rows.where("key is not null").groupBy("label", "key").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("size").alias("size")).withColumn("node", F.xxhash64("label", "key"))
     return rows.select("row_id", "label", "key"), common.table(classes, "vectors")
 
 
 def links_of(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """Of classes' least ids, kind 0: a with the number n of other vectors linked to it in a block; kind 1: edges (a, b) that connect what a block's links connect."""
+    """Of classes' nodes, kind 0: a with the number n of other vectors linked to it in a block; kind 1: edges (a, b) that connect what a block's links connect."""
     spark = classes.sparkSession
     links = None
     sizes = [r["size"] for r in classes.select("size").distinct().collect()]  # lengths of vectors: a few
@@ -137,11 +147,12 @@ def links_of(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     for size in sizes:
         own = classes.where(F.col("size") == size)
         total, labels = own.agg(F.count("*"), F.countDistinct("label")).first()
-        share = min(1.0, 1.3 * SAMPLE / total)
-        drawn = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE).select("vector").collect()
+        cells = int(min(MAX_CELLS, max(4, total // (labels * CELL))))
+        rows = max(SAMPLE, CELL_SAMPLE * cells)
+        share = min(1.0, 1.3 * rows / total)
+        drawn = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows).select("vector").collect()
         sample = np.stack([np.frombuffer(r.vector, np.float64) for r in drawn])
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        cells = int(min(MAX_CELLS, max(4, total // (labels * CELL))))
         shared = spark.sparkContext.broadcast(Quantiser(sample.astype(np.float32), cells))
 
         def index(batches):
@@ -154,27 +165,27 @@ def links_of(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
                 probe[np.arange(len(cell)), cell] = True
                 after = [np.flatnonzero(p[c:]) + c for p, c in zip(probe, cell.tolist(), strict=True)]  # the other way, the other vector is the query
                 yield pa.RecordBatch.from_arrays(
-                    [table.column("rep").combine_chunks(), table.column("copies").combine_chunks(), table.column("label").combine_chunks(), table.column("vector").combine_chunks(), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float64)), pa.array([a.astype(np.int32) for a in after], pa.list_(pa.int32()))],
-                    names=["rep", "copies", "label", "vector", "cell", "codes", "error", "probes"],
+                    [table.column("node").combine_chunks(), table.column("copies").combine_chunks(), table.column("label").combine_chunks(), table.column("vector").combine_chunks(), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float64)), pa.array([a.astype(np.int32) for a in after], pa.list_(pa.int32()))],
+                    names=["node", "copies", "label", "vector", "cell", "codes", "error", "probes"],
                 )
 
-        indexed = common.table(own.select("rep", "copies", "label", "vector").mapInArrow(index, "rep long, copies long, label long, vector binary, cell int, codes binary, error double, probes array<int>"), "index")
+        indexed = common.table(own.select("node", "copies", "label", "vector").mapInArrow(index, "node long, copies long, label long, vector binary, cell int, codes binary, error double, probes array<int>"), "index")
         counts = indexed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        placed = indexed.join(counts, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        items = placed.select("label", "cell", "block", F.lit(False).alias("asks"), "rep", "copies", "vector", "codes", "error", F.col("cell").alias("home"))
-        asked = indexed.select("label", F.explode("probes").alias("cell"), "rep", "copies", "vector", "codes", "error", F.col("cell").alias("home")).join(counts, ["label", "cell"])
-        asked = asked.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "copies", "vector", "codes", "error", "home")
+        placed = indexed.join(counts, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        items = placed.select("label", "cell", "block", F.lit(False).alias("asks"), "node", "copies", "vector", "codes", "error", F.col("cell").alias("home"))
+        asked = indexed.select("label", F.explode("probes").alias("cell"), "node", "copies", "vector", "codes", "error", F.col("cell").alias("home")).join(counts, ["label", "cell"])
+        asked = asked.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "node", "copies", "vector", "codes", "error", "home")
 
         def search(group: pa.Table) -> pa.Table:
-            q = shared.value
+            group, q = common.eased(group), shared.value
             asks = group.column("asks").to_numpy(zero_copy_only=False)
             cell = group.column("cell")[0].as_py()
-            rep, copies, home, error = (group.column(c).to_numpy() for c in ("rep", "copies", "home", "error"))
+            node, copies, home, error = (group.column(c).to_numpy() for c in ("node", "copies", "home", "error"))
             x = _matrix(group.column("vector"))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint8).reshape(len(rep), -1)
+            codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint8).reshape(len(node), -1)
             item = np.flatnonzero(~asks)
-            names, local = np.unique(rep, return_inverse=True)
+            names, local = np.unique(node, return_inverse=True)
             degree, up = np.zeros(len(names), np.int64), list(range(len(names)))
 
             def top(v: int) -> int:
@@ -186,7 +197,7 @@ def links_of(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
             for i in np.flatnonzero(asks).tolist():
                 close = item[q.distances(x[i].astype(np.float32), cell, codes[item]) <= bound]
                 if home[i] == cell:
-                    close = close[rep[close] > rep[i]]
+                    close = close[node[close] > node[i]]
                 if len(close):
                     close = close[x[close] @ x[i] >= least - 1e-9]
                     close = close[[float(np.dot(x[j], x[i])) >= least for j in close]] if len(close) else close
@@ -218,11 +229,12 @@ def near_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     common.tune(df.sparkSession)
     rows, classes = classes_of(df, vec_id, embedding, label)
     found = links_of(classes, least)
-    names = classes.select("rep", "copies", "key", "label")
-    degrees = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    links = found.where("kind = 1").select("a", "b")
-    final = names.join(degrees, "rep", "left").join(components(links), F.col("rep") == F.col("node"), "left")
-    final = final.select("label", "key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    degrees = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    linked = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("component", "group")
+    named = common.table(classes.select("node", "rep", "copies", "key", "label").join(degrees, "node", "left").join(linked, "node", "left"), "named")
+    least = named.where("group is not null").groupBy("group").agg(F.min("rep").alias("least"))
+    final = named.join(common.sized(least), "group", "left")
+    final = final.select("label", "key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     out = rows.join(final, ["label", "key"], "left").select(F.col("row_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "row_id").alias("component_id"))
     return out.withColumn("kept", F.col(vec_id) == F.col("component_id"))
 
