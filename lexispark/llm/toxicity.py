@@ -3,10 +3,13 @@
 Terms are lower-cased runs of letters and their first four and five letters, each hashed to one of 2^18 places. Of all
 labelled learning rows the documents with a term are counted by label, and the terms whose counts depart most from
 chance (the G statistic) become the machine's inputs. Score = logistic(w0 + sum of w_i + sum over pairs of <v_i, v_j>):
-the linear part sees single terms, the factors see pairs such as an insult with the mention of a group.
+the linear part sees single terms, the factors see pairs such as an insult with the mention of a group. Words that matter
+in company only would never be inputs that way, so a first machine's errors are added up over all pairs of words up to
+REACH apart (the score test of a pair as one more input), and the words of the pairs that explain most of them join the
+inputs of the machine that is kept.
 
-Bounds: the machine has at most TERMS inputs with FACTORS factors each, and is fitted on at most SAMPLE_ROWS learning
-rows (the counts behind the choice of terms are of all of them).
+Bounds: the machine has at most TERMS + 2 * PAIRS inputs with FACTORS factors each. It is fitted, and pairs are tested, on
+about SAMPLE_ROWS learning rows, drawn by a hash of the id (the counts behind the choice of terms are of all of them).
 
 Defined results: null and empty texts score as texts without terms; without learning rows of both labels every score is
 0.0; rows without an id are not learned from; of repeated labels the largest counts; input columns named like the
@@ -32,6 +35,8 @@ SAMPLE_ROWS = 20_000
 EPOCHS = 12
 LEAST_G = 12.0
 THRESHOLD = 0.3
+#: Pairs of words: how far apart, places that they are hashed to, how many may join, least score statistic and documents.
+REACH, PAIR_BITS, PAIRS, LEAST_PAIR, PAIR_DOCS = 6, 20, 64, 40.0, 12
 CACHE_RUNS = 200_000
 SLICES = 16
 
@@ -129,9 +134,9 @@ def g_statistic(with_term: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, Machine] | None:
     """(input number of each place, machine) from the documents that labels names, or None if they don't show both labels."""
-    spark = common.tune(docs.sparkSession)
+    common.tune(docs.sparkSession)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_label_id")).agg(F.max(label).cast("int").alias("label"))
-    source = docs.select(F.col(doc_id), common.binary(text).alias("text")).join(common.sized(known), F.col(doc_id) == F.col("_label_id")).select("label", "text")
+    source = docs.select(common.quoted(doc_id).alias("_doc_id"), common.binary(text).alias("text")).join(common.sized(known), F.col("_doc_id") == F.col("_label_id")).select("_label_id", "label", "text")
     size = 1 << PLACES_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +172,20 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     best = np.sort(best[g[best] >= LEAST_G])
     inputs = np.full(size, -1, np.int64)
     inputs[best] = np.arange(len(best))
-    shared = spark.sparkContext.broadcast(inputs)
+    share = min(1.0, SAMPLE_ROWS / int(totals.sum()))  # a bounded sample to fit on, whatever the texts
+    drawn = source.where(F.pmod(F.xxhash64("_label_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else source
+    sample = common.table(drawn.select("label", "text"), "sample")
+    machine = fitted(sample, inputs)
+    more = np.setdiff1d(paired_terms(sample, inputs, machine), np.flatnonzero(inputs >= 0))
+    if len(more):
+        inputs[more] = np.arange(len(best), len(best) + len(more))
+        machine = fitted(sample, inputs)
+    return inputs, machine
+
+
+def fitted(sample: DataFrame, inputs: np.ndarray) -> Machine:
+    """A machine for these inputs, from the rows (label, text) of the sample: their input numbers come to the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast(inputs)
 
     def inputs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(shared.value)
@@ -175,11 +193,80 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             sets = terms.of(common.decoded(table.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([table.column("label").combine_chunks(), pa.array([s.astype(np.int32).tobytes() for s in sets], pa.binary())], names=["label", "inputs"])
 
-    share = min(1.0, 1.2 * SAMPLE_ROWS / int(totals.sum()))  # a bounded sample to fit on, by a hash of the text
-    sample = source.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else source
-    rows = sample.mapInArrow(inputs_of, "label int, inputs binary").limit(SAMPLE_ROWS).collect()
-    sets = [np.frombuffer(r.inputs, np.int32).astype(np.int64) for r in rows]
-    return inputs, Machine(len(best)).fit(sets, np.array([r.label for r in rows], float))
+    rows = sorted((r["inputs"], r["label"]) for r in sample.mapInArrow(inputs_of, "label int, inputs binary").collect())  # in an order that no partition decides
+    sets = [np.frombuffer(x, np.int32).astype(np.int64) for x, _ in rows]
+    return Machine(int(inputs.max(initial=-1)) + 1).fit(sets, np.array([y for _, y in rows], float))
+
+
+class Pairs:
+    """Distinct pairs of words up to REACH apart in texts."""
+
+    def __init__(self):
+        self.cache = common.Cache(CACHE_RUNS)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place of the one word, place of the other) of each pair, smaller place first."""
+        joined, starts, lengths, hashes, counts = common.letter_runs([t.lower() for t in texts])
+        make = lambda new: common.end_to_end([terms_of(joined[i : i + n])[:1] for i, n in zip(starts[new].tolist(), lengths[new].tolist(), strict=True)])
+        word = self.cache.take(hashes, make)[0].astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), counts)
+        parts = []
+        for d in range(1, REACH + 1):
+            a, b = word[:-d], word[d:]
+            same = (doc[:-d] == doc[d:]) & (a != b)
+            a, b = a[same], b[same]
+            parts.append(doc[:-d][same] << 2 * PLACES_BITS | np.minimum(a, b) << PLACES_BITS | np.maximum(a, b))
+        both = np.unique(np.concatenate(parts))
+        mask = (1 << PLACES_BITS) - 1
+        return both >> 2 * PLACES_BITS, both >> PLACES_BITS & mask, both & mask
+
+
+def pair_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (common.fmix((a << PLACES_BITS | b).astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def paired_terms(sample: DataFrame, inputs: np.ndarray, machine: Machine) -> np.ndarray:
+    """Places of the words whose pairs explain most of what the machine gets wrong in the sample."""
+    shared = sample.sparkSession.sparkContext.broadcast((inputs, machine))
+    width = (1 << PAIR_BITS) // SLICES
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model = shared.value
+        terms, pairs, sums = Terms(known), Pairs(), np.zeros((3, 1 << PAIR_BITS), np.float32)
+        for table in common.chunks(batches):
+            texts = common.decoded(table.column("text").to_pylist())
+            p = model.score(terms.of(texts))
+            doc, a, b = pairs.of(texts)
+            at = pair_places(a, b)
+            for row, own in zip(sums, (table.column("label").to_numpy() - p, p * (1 - p), np.ones(len(p))), strict=True):
+                row += np.bincount(at, own[doc], len(row)).astype(np.float32)
+        for i in range(SLICES):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.ascontiguousarray(sums[:, i * width : (i + 1) * width]).tobytes()])], names=["slice", "sums"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in part.column("sums").to_pylist())
+        error, spread, docs = total.reshape(3, -1)
+        z = np.where(docs >= PAIR_DOCS, error**2 / (spread + 1), 0.0)
+        at = np.argsort(-z, kind="stable")[: 4 * PAIRS]
+        at = at[z[at] >= LEAST_PAIR]
+        return pa.table({"place": pa.array(at + part.column("slice")[0].as_py() * width, pa.int64()), "z": pa.array(z[at], pa.float64())})
+
+    best = sample.coalesce(8).mapInArrow(errors, "slice int, sums binary").groupBy("slice").applyInArrow(add, "place long, z double").orderBy(F.desc("z"), "place").limit(PAIRS).collect()
+    if not best:
+        return np.zeros(0, np.int64)
+    wanted = np.sort([r.place for r in best])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = Pairs()
+        for table in common.chunks(batches):
+            _, a, b = pairs.of(common.decoded(table.column("text").to_pylist()))
+            at = pair_places(a, b)
+            here = np.isin(at, wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(x[here], pa.int64()) for x in (at, a, b)], names=["place", "a", "b"])
+
+    counted = sample.mapInArrow(words, "place long, a long, b long").groupBy("place", "a", "b").agg(F.count("*").alias("n"))
+    first = counted.groupBy("place").agg(F.max(F.struct("n", "a", "b")).alias("most")).collect()  # a pair for each of the places
+    return np.unique([x for r in first for x in (r.most.a, r.most.b)])
 
 
 def score(docs: DataFrame, learned: tuple[np.ndarray, Machine] | None, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
