@@ -271,8 +271,8 @@ def _within_clusters(clusters: DataFrame, named: DataFrame, nearest: bool) -> Da
     return sent.groupBy("cluster", "first", "second").applyInArrow(compare, "a long, b long")
 
 
-#: Partners of a document that one task compares with it.
-PARTNERS = 48
+#: Partners of a document that one task compares with it, stops of one row, and bytes of sets that are sent at once.
+PARTNERS, STOPS, SENT_BYTES = 48, 64, 4 << 20
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, text: str, doc_id: str, percent: int = 80) -> DataFrame:
@@ -281,20 +281,28 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, text:
     dealt = common.table(pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("part")), "dealt")
     stops = dealt.select(F.col("b").alias("h"), "a", "part").unionByName(dealt.select(F.col("a").alias("h"), "a", "part").distinct())
     reps = classes.where("rep is not null").select(F.col("h1").alias("h"), "rep")
-    routes = stops.join(reps, "h").groupBy("h", "rep").agg(F.collect_list(F.struct("a", "part")).alias("stops"))
+    slot = F.when(F.col("a") == F.col("h"), F.floor(F.col("part") / STOPS)).otherwise(-1).alias("slot")  # a hub's stops are many rows
+    routes = stops.join(reps, "h").groupBy("h", "rep", slot).agg(F.collect_list(F.struct("a", "part")).alias("stops")).drop("slot")
     routes = common.sized(common.table(routes, "routes"))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
+    source = docs.select(common.quoted(doc_id).cast("long").alias("doc_id"), common.binary(text).alias("text"))
+
+    def sent_rows(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "part", "h", "rep", "shingles"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.chunks(batches):
-            out = [[], [], [], [], []]
+            out, held = [[], [], [], [], []], 0
             for own, h, rep, stops in zip(shingle_sets(table.column("text").to_pylist(), n), *(table.column(c).to_pylist() for c in ("h", "rep", "stops")), strict=True):
                 if set_hash(own)[0] == h:
                     data = own.tobytes()
                     for stop in stops:
                         for column, value in zip(out, (stop["a"], stop["part"], h, rep, data), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "part", "h", "rep", "shingles"])
+                        held += len(data)
+                        if held > SENT_BYTES:
+                            yield sent_rows(out)
+                            out, held = [[], [], [], [], []], 0
+            yield sent_rows(out)
 
     def compare(group: pa.Table) -> pa.Table:
         group = common.eased(group)
