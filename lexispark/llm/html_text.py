@@ -167,17 +167,18 @@ def text_of(blocks: list[Block], removed: set[int]) -> str:
     return " ".join(b.text for i, b in enumerate(blocks) if b.keep or b.keep is None and i not in removed)
 
 
-def _source(pages: DataFrame, url: str, html: str) -> DataFrame:
-    return pages.select("*", F.col(f"`{url}`").cast("string").alias("_url"), F.col(f"`{html}`").cast("binary").alias("_html"), F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`")).alias("_page"))
+def _page(url: str, html: str):
+    """What the tree knows a page by."""
+    return F.xxhash64(common.quoted(url).cast("string"), common.quoted(html).cast("binary"))
 
 
 def removable(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
     """(page, removed): numbers of the blocks of low importance, by a hash of URL and page."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.chunks(batches, "_html"):
+        for table in common.chunks(batches, "html"):
             rows = []
-            for raw, link, page in zip(*(table.column(c).to_pylist() for c in ("_html", "_url", "_page")), strict=True):
+            for raw, link, page in zip(*(table.column(c).to_pylist() for c in ("html", "url", "page")), strict=True):
                 blocks, children = parse((raw or b"").decode("utf-8", "replace"))
                 host = host_of(link)
                 for path, names in children.items():
@@ -188,7 +189,8 @@ def removable(pages: DataFrame, url: str = "url", html: str = "html", least: flo
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["page", "block", "node", "feature", "links"])
 
-    seen = common.table(_source(pages, url, html).select("_url", "_html", "_page").mapInArrow(observe, "page long, block int, node long, feature long, links double"), "observed")
+    source = pages.select(common.quoted(url).cast("string").alias("url"), common.binary(html).alias("html"), _page(url, html).alias("page"))
+    seen = common.table(source.mapInArrow(observe, "page long, block int, node long, feature long, links double"), "observed")
     counts = seen.groupBy("node", (F.col("block") < 0).alias("style"), "feature").agg(F.count("*").cast("double").alias("n"))
     nodes = counts.groupBy("node", "style").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     shape = nodes.where("style").select("node", F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(1.0).alias("presentation"))
@@ -202,15 +204,17 @@ def removable(pages: DataFrame, url: str = "url", html: str = "html", least: flo
 def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
     """pages with text and n_chars (code points); columns of these names are replaced."""
     common.tune(pages.sparkSession)
-    removed = common.sized(removable(pages, url, html, least), rows=100_000)
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    schema = common.extended(pages.select(*[F.col(f"`{c}`") for c in kept if c != html]).schema, "text string, n_chars long")
-    source = _source(pages, url, html).join(removed, F.col("_page") == F.col("page"), "left").select(*[F.col(f"`{c}`") for c in kept if c != html], "_html", "removed")
+    page, low, raw = (common.free_name(pages, x) for x in ("page", "removed", "raw"))
+    removed = common.sized(removable(pages, url, html, least).select(F.col("page").alias(page), F.col("removed").alias(low)), rows=100_000)
+    kept = [common.quoted(c) for c in pages.columns if c.lower() not in ("text", "n_chars") and c != html]
+    schema = common.extended(pages.select(*kept).schema, "text string, n_chars long")
+    # The raw page comes last, so that a chunk's other columns are the output's.
+    source = pages.withColumn(page, _page(url, html)).join(removed, page, "left").select(*kept, F.col(low), common.binary(html).alias(raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.chunks(batches, "_html"):
-            texts = [text_of(parse((raw or b"").decode("utf-8", "replace"))[0], set(low or ())) for raw, low in zip(table.column("_html").to_pylist(), table.column("removed").to_pylist(), strict=True)]
-            out = table.drop_columns(["_html", "removed"]).append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
+        for table in common.chunks(batches, raw):
+            texts = [text_of(parse((x or b"").decode("utf-8", "replace"))[0], set(gone or ())) for x, gone in zip(table.column(raw).to_pylist(), table.column(low).to_pylist(), strict=True)]
+            out = table.drop_columns([raw, low]).append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
             yield from out.to_batches()
 
     return source.mapInArrow(run, schema)
