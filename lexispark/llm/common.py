@@ -354,7 +354,7 @@ class Keys:
         if 2 * (self.count + len(new)) > 1 << self.bits:
             some = self.numbers >= 0
             old = self.hashes[some], self.numbers[some]
-            self._make(int(2 * (self.count + len(new)) - 1).bit_length() + 1)
+            self._make(int(2 * (self.count + len(new)) - 1).bit_length())
             self._insert(*old)
         self._insert(new, numbers)
         self.count += len(new)

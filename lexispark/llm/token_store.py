@@ -36,7 +36,7 @@ PERCENTILE = 0.9
 #: Ids of a segment, about.
 SEGMENT_IDS = 1 << 20
 #: Pieces and words of a generation of a worker's caches.
-CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+CACHE_PIECES, CACHE_WORDS = 260_000, 260_000
 
 
 def _bit_length(values: np.ndarray) -> np.ndarray:
