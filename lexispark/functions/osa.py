@@ -44,11 +44,11 @@ def _next_row(a: Column, b: Column, state: Column, i: Column) -> Column:
 
 def _rows(a: Column, b: Column, finish) -> Column:
     first = F.sequence(F.lit(0), F.length(b))
-    start = F.struct(first.alias("p2"), first.alias("p1"), F.array(F.lit(0)).alias("least"))
+    start = F.struct(first.alias("p2"), first.alias("p1"), F.array(F.lit(0)).alias("least"), F.array(F.length(b)).alias("last"))
 
     def step(state: Column, i: Column) -> Column:
         row = _next_row(a, b, state, i)
-        return F.struct(state["p1"].alias("p2"), row.alias("p1"), F.concat(state["least"], F.array(F.array_min(row))).alias("least"))
+        return F.struct(state["p1"].alias("p2"), row.alias("p1"), F.concat(state["least"], F.array(F.array_min(row))).alias("least"), F.concat(state["last"], F.array(F.element_at(row, -1))).alias("last"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(a)), start, step, finish)
 
@@ -65,6 +65,12 @@ def row_minima(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == 0, F.array(F.lit(0))).when(F.length(b) == 0, flat).otherwise(_rows(a, b, lambda s: s["least"]))
 
 
+def prefix_distances(a: Column, b: Column) -> Column:
+    """Distances of b to a's prefixes of 0, 1, ... bytes: what feeding a byte by byte would report after each."""
+    flat = F.transform(F.sequence(F.lit(0), F.length(a)), lambda i: i)
+    return F.when(F.length(a) == 0, F.array(F.length(b))).when(F.length(b) == 0, flat).otherwise(_rows(a, b, lambda s: s["last"]))
+
+
 def _cheap(a: Column, b: Column, k: Column) -> tuple[Column, Column]:
     """(possible, decided): whether lengths and plain distance leave a chance, and the distance where the plain one decides it (null where the table must)."""
     plain = F.levenshtein(a, b)
@@ -106,7 +112,7 @@ def osa_python(a: bytes, b: bytes) -> int:
     return last[-1]
 
 
-def osa_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
+def table_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Distances of many pairs at once: the table's cells are vectors over the pairs."""
     n = len(a)
     la, lb = (np.fromiter(map(len, x), np.int64, n) for x in (a, b))
@@ -133,6 +139,54 @@ def osa_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+#: Bytes of the shorter string that the bits of one word hold, and pairs that are worked on together.
+WORD_BITS, TOGETHER = 64, 4096
+
+
+def bit_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Distances of many pairs at once, bit-parallel: the shorter string of each pair, of WORD_BITS bytes at most, lies along the bits.
+
+    Bits say where a column of the table rises (up) or falls (down) against the row above; each byte of the longer string
+    moves all pairs one column on. A transposition starts where this byte stood one place on and the last byte here.
+    """
+    short = [min(x, y, key=len) for x, y in zip(a, b, strict=True)]
+    long = [max(y, x, key=len) for x, y in zip(a, b, strict=True)]
+    n, one = len(a), np.uint64(1)
+    m, width = (np.fromiter(map(len, x), np.int64, n) for x in (short, long))
+    x, y = (np.zeros((n, int(size.max(initial=0))), np.uint8) for size in (m, width))
+    for i, (s, t) in enumerate(zip(short, long, strict=True)):
+        x[i, : len(s)], y[i, : len(t)] = np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8)
+    rows = np.arange(n)
+    masks = np.zeros((n, 256), np.uint64)
+    for i in range(x.shape[1]):
+        own = rows[m > i]
+        masks[own, x[own, i]] |= one << np.uint64(i)
+    last = np.maximum(m - 1, 0).astype(np.uint64)
+    distance, up, down = m.copy(), np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+    diagonal, before = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(y.shape[1]):
+        same = masks[rows, y[:, j]]
+        swapped = ((~diagonal & same) << one) & before
+        diagonal = (((same & up) + up) ^ up) | same | down | swapped
+        rise, fall = down | ~(diagonal | up), diagonal & up
+        open_ = j < width
+        distance += np.where(open_, (rise >> last & one).astype(np.int64) - (fall >> last & one).astype(np.int64), 0)
+        rise, fall = rise << one | one, fall << one
+        up, down, before = fall | ~(diagonal | rise), rise & diagonal, same
+    return np.where(m == 0, width, distance)
+
+
+def osa_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Distances of many pairs, each by the kernel that its lengths allow."""
+    out = np.empty(len(a), np.int64)
+    fits = np.fromiter((min(len(x), len(y)) <= WORD_BITS for x, y in zip(a, b, strict=True)), bool, len(a))
+    for kernel, own in ((bit_pairs, np.flatnonzero(fits)), (table_pairs, np.flatnonzero(~fits))):
+        for i in range(0, len(own), TOGETHER):
+            part = own[i : i + TOGETHER]
+            out[part] = kernel([a[k] for k in part], [b[k] for k in part])
+    return out
+
+
 @pandas_udf(IntegerType())
 def osa_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     """The distance of two words (not byte strings) by Arrow batches."""

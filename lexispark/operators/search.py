@@ -1,7 +1,8 @@
 """Exact and approximate lookup.
 
-The distances of a batch of queries decide the plan. Distance 0 is an equi-join. For distances 1 and 2, both sides emit
-the strings that up to k deletions leave, and equal ones meet (plan "variants": an equi-join, whatever the sizes). A
+The distances of a batch of queries decide the plan. Distance 0 is an equi-join. For distances up to 3, both sides emit
+hashes of the strings that up to k deletions leave, and equal ones meet (plan "variants": the batch's are broadcast while
+they are few, so the dictionary is only mapped over, or a persisted index of its variants is read). A
 small batch is cheaper the other way: each query is broadcast under every length it can match and meets the dictionary
 on length ("lengths"). For larger distances, words are cut into 2k + 1 segments, one of which an edit path of k steps
 leaves whole, and segments meet substrings of the query at most k places off ("segments"); words too short to be cut
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.osa import within, within_arrow
 from lexispark.functions.text import byte_string
-from lexispark.sources.dictionary import with_bytes
+from lexispark.sources.dictionary import VARIANT_PARTS, deletions, with_bytes
 
 #: Queries of a batch up to which lengths are broadcast instead of expanding the dictionary.
 SMALL_BATCH = 200
+#: Distances up to which variants are made, and least bytes of a segment for larger ones.
+MOST_DELETIONS, SEGMENT_BYTES = 3, 3
+#: Rows of the queries' side of a join up to which it is broadcast, after being counted.
+BROADCAST_ROWS = 1_000_000
 COLUMNS = ["qid", "max_distance", "query", "word", "freq", "distance"]
 
 
@@ -45,34 +50,33 @@ def _verify(candidates: DataFrame, arrow: bool = False) -> DataFrame:
     return judged.where("distance is not null").select(COLUMNS)
 
 
-def deletions(rows: DataFrame, column: str, levels: int) -> DataFrame:
-    """rows with `variant`: the byte string `column` without up to `levels` bytes. Level by level, distinct at each."""
-    level = rows.withColumn("variant", F.col(column))
-    out = level
-    for depth in range(levels):
-        shorter = F.transform(F.sequence(F.lit(1), F.length("variant")), lambda i: F.concat(F.substr(F.col("variant"), F.lit(1), i - 1), F.substr(F.col("variant"), i + 1, F.length("variant"))))
-        level = level.where(F.length("variant") > 0).withColumn("variant", F.explode(F.array_distinct(shorter)))
-        if depth:  # two orders of the same deletions
-            level = level.distinct()
-        out = out.unionByName(level)
-    return out
-
+def _small(queries: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The queries' side of a join, marked for broadcast if it has at most so many rows (it is counted); otherwise the join shuffles."""
+    return F.broadcast(queries) if queries.count() <= rows else queries
 
-def by_variants(queries: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """Candidates that share a string left by up to k deletions; queries of distance up to k."""
-    q = _prepared(queries)
-    d = _indexed(words).select("word", "freq", "wb")
-    left = deletions(q.select("qid", "qb"), "qb", k)
-    right = deletions(d.select("wb"), "wb", k)
-    met = left.join(right, "variant").where((F.abs(F.length("qb") - F.length("wb")) <= k) & (F.levenshtein("qb", "wb") <= 2 * k))
-    pairs = met.select("qid", "wb").distinct()
-    return _verify(pairs.join(q, "qid").join(d, "wb"), arrow=k > 1)
 
+def by_variants(queries: DataFrame, words: DataFrame, k: int, variants: DataFrame | None = None) -> DataFrame:
+    """Candidates that share a string left by up to k deletions; queries of distance up to k.
 
-def by_lengths(queries: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidates by length: each query stands under every length within its distance."""
+    The dictionary's variants come from a persisted index, or are made on the way (a map over the dictionary). They meet
+    the batch's variants, which are broadcast while they are few.
+    """
+    q = deletions(_prepared(queries), "qb", k).drop("depth").withColumnRenamed("variant", "v")
+    if variants is None:
+        d = deletions(_indexed(words).select("word", "freq", "wb"), "wb", k)
+        met = d.join(_small(q), F.col("variant") == F.col("v"))
+    else:
+        q = q.withColumn("p", F.pmod("v", F.lit(VARIANT_PARTS)).cast("int"))
+        met = variants.where(F.col("depth") <= k).join(_small(q), (F.col("variant") == F.col("v")) & (F.col("part") == F.col("p"))).withColumn("wb", byte_string(F.col("word")))
+    near = met.where((F.abs(F.length("qb") - F.length("wb")) <= k) & (F.levenshtein("qb", "wb") <= 2 * k))
+    pairs = near.select("qid", "max_distance", "query", "qb", "word", "freq", "wb").dropDuplicates(["qid", "word"])
+    return _verify(pairs, arrow=k > 1)
+
+
+def by_lengths(queries: DataFrame, words: DataFrame, arrow: bool = False) -> DataFrame:
+    """Candidates by length: each query stands under every length within its distance, and goes to the dictionary."""
     q = _prepared(queries).withColumn("len", F.explode(F.sequence(F.greatest(F.length("qb") - F.col("max_distance"), F.lit(0)), F.length("qb") + F.col("max_distance"))))
-    return _verify(q.join(_indexed(words), "len"))
+    return _verify(_indexed(words).join(_small(q), "len"), arrow=arrow)
 
 
 def _segment(text: Column, k: Column, length: Column, s: Column) -> tuple[Column, Column]:
@@ -83,27 +87,30 @@ def _segment(text: Column, k: Column, length: Column, s: Column) -> tuple[Column
 
 
 def by_segments(queries: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """Candidates that share one of 2k + 1 segments, up to k places off; shorter words meet on length."""
+    """Candidates that share one of 2k + 1 segments, up to k places off; words whose segments would be shorter than SEGMENT_BYTES tell too little apart and meet on length."""
+    least = SEGMENT_BYTES * (2 * k + 1)
     kk = F.lit(k)
     d = _indexed(words)
-    long = d.where(F.col("len") > 2 * k).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2 * k))))
+    long = d.where(F.col("len") >= least).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2 * k))))
     a, n = _segment(F.col("wb"), kk, F.col("len"), F.col("s"))
     long = long.withColumn("piece", F.substr(F.col("wb"), a + 1, n))
     q = _prepared(queries)
-    spots = q.withColumn("len", F.explode(F.sequence(F.greatest(F.length("qb") - k, F.lit(2 * k + 1)), F.greatest(F.length("qb") + k, F.lit(2 * k + 1)))))
+    spots = q.withColumn("len", F.explode(F.sequence(F.greatest(F.length("qb") - k, F.lit(least)), F.greatest(F.length("qb") + k, F.lit(least)))))
     spots = spots.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2 * k)))).withColumn("off", F.explode(F.sequence(F.lit(-k), F.lit(k))))
     a, n = _segment(F.col("qb"), kk, F.col("len"), F.col("s"))
     spots = spots.withColumn("at", a + F.col("off")).withColumn("n", n).where("at >= 0 and at + n <= length(qb)")
-    spots = spots.select("qid", "len", "s", F.substr(F.col("qb"), F.col("at") + 1, F.col("n")).alias("piece")).distinct()
-    pairs = spots.join(long.select("len", "s", "piece", "wb"), ["len", "s", "piece"]).select("qid", "wb").distinct()
-    return _verify(pairs.join(q, "qid").join(d, "wb"), arrow=True).unionByName(by_lengths(queries, d.where(F.col("len") <= 2 * k)))
+    spots = spots.select("qid", "max_distance", "query", "qb", "len", "s", F.substr(F.col("qb"), F.col("at") + 1, F.col("n")).alias("piece")).distinct()
+    met = long.select("len", "s", "piece", "word", "freq", "wb").join(_small(spots), ["len", "s", "piece"])
+    pairs = met.where(F.levenshtein("qb", "wb") <= 2 * k).select("qid", "max_distance", "query", "qb", "word", "freq", "wb").dropDuplicates(["qid", "word"])
+    return _verify(pairs, arrow=True).unionByName(by_lengths(queries, d.where(F.col("len") < least), arrow=True))
 
 
-def fuzzy(queries: DataFrame, words: DataFrame, strategy: str = "auto") -> DataFrame:
+def fuzzy(queries: DataFrame, words: DataFrame, strategy: str = "auto", variants: DataFrame | None = None) -> DataFrame:
     """All words within each query's own distance: (qid, max_distance, query, word, freq, distance).
 
     queries: (qid, max_distance, word), qid unique; words: (word, freq), words unique, or a read index. strategy: auto,
-    variants, lengths or segments. The distances in use are read first (a handful of numbers) and give one branch each.
+    variants, lengths or segments. variants: a persisted variant index of the words, of as many levels as the largest
+    distance that is to use it. The distances in use are read first (a handful of numbers) and give one branch each.
     """
     words = _indexed(words)
     sizes = sorted((r.max_distance, r["count"]) for r in queries.where("max_distance >= 0").groupBy("max_distance").count().collect())
@@ -112,12 +119,12 @@ def fuzzy(queries: DataFrame, words: DataFrame, strategy: str = "auto") -> DataF
         own = queries.where(F.col("max_distance") == k)
         if k == 0:
             branches.append(exact(own, words))
-        elif strategy == "lengths" or strategy == "auto" and n <= SMALL_BATCH:
-            branches.append(by_lengths(own, words))
-        elif strategy == "segments" or k > 2 and strategy == "auto":
+        elif strategy == "lengths" or strategy == "auto" and n <= SMALL_BATCH and variants is None:
+            branches.append(by_lengths(own, words, arrow=k > 1))
+        elif strategy == "segments" or k > MOST_DELETIONS and strategy == "auto":
             branches.append(by_segments(own, words, k))
         else:
-            branches.append(by_variants(own, words, k))
+            branches.append(by_variants(own, words, k, variants))
     if not branches:
         return exact(queries.limit(0), words)
     out = branches[0]

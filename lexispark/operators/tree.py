@@ -86,8 +86,8 @@ def node_id(prefix):
 def dot_lines(words: DataFrame) -> DataFrame:
     """(line_group, line) of the drawing's body: nodes, then edges. Words are green; byte labels print as Latin-1."""
     shape = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
-    n = tree_nodes(words).select(F.lit(1).alias("line_group"), F.concat(node_id(F.col("prefix")), F.lit(' [label="'), F.coalesce(F.col("freq").cast("string"), F.lit("")), F.lit('", shape='), shape[F.col("kind")], F.when(F.col("freq").isNotNull(), F.lit(", color=green")).otherwise(""), F.lit("]")).alias("line"))
-    e = tree_edges(words).select(F.lit(2).alias("line_group"), F.concat(node_id(F.col("parent")), F.lit(" -> "), node_id(F.col("child")), F.lit(' [label="'), F.col("label"), F.lit('"]')).alias("line"))
+    n = tree_nodes(words).select(F.lit(1).alias("line_group"), F.concat(node_id(F.col("prefix")), F.lit(' [label="'), F.coalesce(F.col("freq").cast("string"), F.lit("")), F.lit('", shape='), shape[F.col("kind")], F.when(F.col("freq").isNotNull(), F.lit(", color=green, style=filled")).otherwise(""), F.lit("];")).alias("line"))
+    e = tree_edges(words).select(F.lit(2).alias("line_group"), F.concat(node_id(F.col("parent")), F.lit(" -> "), node_id(F.col("child")), F.lit(' [label="'), F.col("label"), F.lit('"];')).alias("line"))
     return n.unionByName(e)
 
 

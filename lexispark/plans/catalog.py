@@ -15,6 +15,7 @@ from lexispark.functions import osa
 from lexispark.functions.text import auto_distance, bit_kernel_fits, byte_length, byte_string, from_byte_string
 from lexispark.operators import compare, render, search, tree
 from lexispark.sources import dictionary
+from lexispark.sources.workspace import new_path
 from lexispark.streaming.search_stream import answer_stream
 
 
@@ -26,6 +27,13 @@ def corpus_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.from_corpus(_table(spark, sf_dir, "documents"))
 
 
+def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary, written once: searches read it as often as they like."""
+    path = new_path(spark, "index")
+    dictionary.write_index(corpus_dictionary(spark, sf_dir), path)
+    return dictionary.read_index(spark, path)
+
+
 def qid_of(word: str):
     """60 bits of the word's digest: an id without a global sort."""
     return F.conv(F.substr(F.md5(F.encode(word, "UTF-8")), F.lit(1), F.lit(15)), 16, 10).cast("long")
@@ -34,7 +42,7 @@ def qid_of(word: str):
 def search_queries(spark: SparkSession, sf_dir: str, distance) -> DataFrame:
     """All distinct words of the benchmark, their second letter doubled; qid comes from a digest of the word."""
     words = dictionary.corpus_tokens(_table(spark, sf_dir, "benchmark")).distinct()
-    bent = words.select(F.col("word").alias("source"), F.concat(F.substr(F.col("word"), F.lit(1), F.lit(2)), F.substr("word", F.lit(2), F.lit(1000))).alias("word"))
+    bent = words.select(F.col("word").alias("source"), F.concat(F.substr(F.col("word"), F.lit(1), F.lit(2)), F.expr("substr(word, 2)")).alias("word"))
     return bent.select(qid_of("source").alias("qid"), "source", "word").withColumn("max_distance", distance).select("qid", "max_distance", "word")
 
 
@@ -83,7 +91,7 @@ def _names(spark, sf):
 def osa_pairs(spark, sf):
     """Distances of all pairs of the names, of parts, nations and regions: a few dozen words."""
     a, b = (_names(spark, sf).select(F.length("word").alias(f"len_{c}"), F.col("word").alias(c)) for c in "ab")
-    lengths = a.select("len_a").distinct().withColumn("len_b", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    lengths = a.select("len_a").distinct().crossJoin(F.broadcast(b.select("len_b").distinct()))  # a few numbers each
     pairs = a.join(lengths, "len_a").join(b, "len_b")
     return pairs.select("a", "b", osa.osa(byte_string(F.col("a")), byte_string(F.col("b"))).alias("distance"))
 
@@ -114,36 +122,51 @@ def auto_distances(spark, sf):
 
 
 def fuzzy_k1(spark, sf):
-    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(1)), corpus_dictionary(spark, sf)))
+    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(1)), corpus_index(spark, sf)))
 
 
 def fuzzy_k2(spark, sf):
-    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(2)), corpus_dictionary(spark, sf)))
+    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(2)), corpus_index(spark, sf)))
+
+
+def fuzzy_k3(spark, sf):
+    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(3)), corpus_index(spark, sf)))
+
+
+def fuzzy_variant_index(spark, sf):
+    """Distance 2 by a persisted index of variants."""
+    words, path = corpus_index(spark, sf), new_path(spark, "variants")
+    dictionary.write_variants(words, path, 2)
+    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(2)), words, "variants", dictionary.read_variants(spark, path)))
+
+
+def osa_prefixes(spark, sf):
+    """Distance of each word to the other's whole prefixes, as feeding them byte by byte reports it."""
+    pairs = osa_pairs(spark, sf).select("a", "b")
+    return pairs.select("a", "b", F.posexplode(osa.prefix_distances(byte_string(F.col("a")), byte_string(F.col("b")))).alias("fed", "distance"))
 
 
 def fuzzy_mixed_k(spark, sf):
-    return _flat(search.fuzzy(search_queries(spark, sf, (F.col("qid") % 3).cast("int")), corpus_dictionary(spark, sf)))
+    return _flat(search.fuzzy(search_queries(spark, sf, (F.col("qid") % 3).cast("int")), corpus_index(spark, sf)))
 
 
 def fuzzy_k3_segments(spark, sf):
-    """Distance 3 over the small dictionary of names."""
-    d = _names(spark, sf).withColumn("freq", F.lit(1).cast("long"))
-    q = dictionary.corpus_tokens(_table(spark, sf, "benchmark")).distinct().select(qid_of("word").alias("qid"), F.lit(3).alias("max_distance"), "word")
-    return _flat(search.fuzzy(q, d, "segments"))
+    """Distance 3 by segments and, for the many words too short to be cut so, by lengths."""
+    return _flat(search.fuzzy(search_queries(spark, sf, F.lit(3)), corpus_index(spark, sf), "segments"))
 
 
 def fuzzy_empty_results(spark, sf):
     q = search_queries(spark, sf, F.lit(1))
-    return search.answers(q, search.fuzzy(q, corpus_dictionary(spark, sf))).select("qid", "query", F.size("results").cast("long").alias("n"))
+    return search.answers(q, search.fuzzy(q, corpus_index(spark, sf))).select("qid", "query", F.size("results").cast("long").alias("n"))
 
 
 def ranked_suggestions(spark, sf):
-    return search.ranked(_flat(search.fuzzy(search_queries(spark, sf, F.lit(1)), corpus_dictionary(spark, sf))))
+    return search.ranked(_flat(search.fuzzy(search_queries(spark, sf, F.lit(1)), corpus_index(spark, sf))))
 
 
 def _answers(spark, sf):
     q = search_queries(spark, sf, F.lit(1))
-    return search.answers(q, search.fuzzy(q, corpus_dictionary(spark, sf)))
+    return search.answers(q, search.fuzzy(q, corpus_index(spark, sf)))
 
 
 def json_results_exact(spark, sf):
@@ -189,17 +212,13 @@ def index_dot(spark, sf):
 
 
 def index_persist_roundtrip(spark, sf):
-    from lexispark.sources.workspace import new_path
-
-    path = new_path(spark, "index")
-    dictionary.write_index(corpus_dictionary(spark, sf), path)
-    return dictionary.read_index(spark, path).select("word", "freq", "wb", "len")
+    return corpus_index(spark, sf).select("word", "freq", "wb", "len")
 
 
 def results_diff(spark, sf):
     """Two plans' answers compared; a seeded difference shows that the comparison sees one."""
     q = search_queries(spark, sf, F.lit(1))
-    d = corpus_dictionary(spark, sf)
+    d = corpus_index(spark, sf)
     x = search.answers(q, search.fuzzy(q, d, "variants")).select("qid", render.json_exact(F.col("results")).alias("results"))
     y = search.answers(q, search.fuzzy(q, d, "lengths")).select("qid", render.json_exact(F.col("results")).alias("results"))
     return compare.results_diff(x, y.withColumn("results", F.when(F.col("qid") % 97 == 0, "seeded").otherwise(F.col("results")))).select("qid", "right")
@@ -212,13 +231,11 @@ def bench_stats_trimmed(spark, sf):
 
 def stream_search(spark, sf):
     """Every turn of the conversations is a query line; answers come from a stream over the table's file."""
-    from lexispark.sources.workspace import new_path
-
     source = f"{sf}/conversations.parquet"
     lines = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(spark, source))
     lines = lines.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.lit("approx 1 "), F.coalesce(F.nullif(F.regexp_extract("text", r"\p{L}+", 0), F.lit("")), F.lit("none"))).alias("value"))
     out = new_path(spark, "answers")
-    words = corpus_dictionary(spark, sf)
+    words = corpus_index(spark, sf)
     query = answer_stream(lines, words, lambda df, _: df.write.mode("append").parquet(out), new_path(spark, "checkpoint"))
     query.awaitTermination()
     return spark.read.schema("qid long, json string").parquet(out)
@@ -226,8 +243,6 @@ def stream_search(spark, sf):
 
 def _stream_path(spark, source: str) -> list[str]:
     """A stream reads folders: the table's own, or for a table that is one file a copy of it in the shared folder."""
-    from lexispark.sources.workspace import new_path
-
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(source)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -240,7 +255,7 @@ def _stream_path(spark, source: str) -> list[str]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (dictionary_build, dictionary_dedupe_max, dictionary_file_parse, query_line_parse, bench_query_mix, exact_lookup_k0, osa_pairs, osa_arrow_pairs, row_min_prune, kernel_dispatch, byte_lengths, auto_distances, fuzzy_k1, fuzzy_k2, fuzzy_mixed_k, fuzzy_k3_segments, fuzzy_empty_results, ranked_suggestions, json_results_exact, json_results_valid, unmatched_words, index_words, index_max_length, index_information, index_node_kinds, index_bytes, index_edges, index_dot, index_persist_roundtrip, results_diff, bench_stats_trimmed, stream_search)
+    for f in (dictionary_build, dictionary_dedupe_max, dictionary_file_parse, query_line_parse, bench_query_mix, exact_lookup_k0, osa_pairs, osa_arrow_pairs, row_min_prune, kernel_dispatch, byte_lengths, auto_distances, fuzzy_k1, fuzzy_k2, fuzzy_mixed_k, fuzzy_k3, fuzzy_k3_segments, fuzzy_variant_index, osa_prefixes, fuzzy_empty_results, ranked_suggestions, json_results_exact, json_results_valid, unmatched_words, index_words, index_max_length, index_information, index_node_kinds, index_bytes, index_edges, index_dot, index_persist_roundtrip, results_diff, bench_stats_trimmed, stream_search)
 }
 
 

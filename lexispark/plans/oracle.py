@@ -60,6 +60,7 @@ ORACLE = {
     "exact_lookup_k0": f"WITH {_DICT}, {_BENCH} SELECT {_QID.format('word')} AS qid, 0 AS max_distance, word AS query, word, freq, 0 AS distance FROM bench JOIN dict USING (word)",
     "osa_pairs": _with(_ALL_PAIRS, _OSA) + "SELECT a, b, d AS distance FROM osa",
     "osa_arrow_pairs": _with(_ALL_PAIRS, _OSA) + "SELECT a, b, d AS distance FROM osa",
+    "osa_prefixes": _with(_ALL_PAIRS, _OSA) + "SELECT a, b, CAST(i AS INTEGER) AS fed, CAST(p1[len(y) + 1] AS INTEGER) AS distance FROM r",
     "row_min_prune": _with(_ALL_PAIRS, _OSA) + "SELECT a, b, least FROM osa",
     "kernel_dispatch": f"WITH {_DICT} SELECT word, strlen(word) + 50 <= 61 AS fits FROM dict",
     "byte_lengths": f"WITH {_DICT} SELECT word, CAST(strlen(word) AS INTEGER) AS n_bytes, true AS round_trip FROM dict",
@@ -67,7 +68,9 @@ ORACLE = {
     "fuzzy_k1": _with(_DICT, _BENCH, _QUERIES, _fuzzy("1")) + f"SELECT {_COLUMNS} FROM hits",
     "fuzzy_k2": _with(_DICT, _BENCH, _QUERIES, _fuzzy("2")) + f"SELECT {_COLUMNS} FROM hits",
     "fuzzy_mixed_k": _with(_DICT, _BENCH, _QUERIES, _fuzzy("q.qid % 3")) + f"SELECT {_COLUMNS} FROM hits",
-    "fuzzy_k3_segments": _with(_NAMES, _BENCH, "d AS (SELECT word, CAST(1 AS BIGINT) AS freq FROM names)", "q AS (SELECT " + _QID.format("word") + " AS qid, word AS query FROM bench)", _fuzzy("3", "d")) + f"SELECT {_COLUMNS} FROM hits",
+    "fuzzy_k3": _with(_DICT, _BENCH, _QUERIES, _fuzzy("3")) + f"SELECT {_COLUMNS} FROM hits",
+    "fuzzy_k3_segments": _with(_DICT, _BENCH, _QUERIES, _fuzzy("3")) + f"SELECT {_COLUMNS} FROM hits",
+    "fuzzy_variant_index": _with(_DICT, _BENCH, _QUERIES, _fuzzy("2")) + f"SELECT {_COLUMNS} FROM hits",
     "fuzzy_empty_results": _with(_DICT, _BENCH, _QUERIES, _fuzzy("1")) + "SELECT q.qid, q.query, count(hits.word) AS n FROM q LEFT JOIN hits ON q.qid = hits.qid GROUP BY q.qid, q.query",
     "ranked_suggestions": _with(_DICT, _BENCH, _QUERIES, _fuzzy("1")) + f"SELECT {_COLUMNS}, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, freq DESC, word) AS INTEGER) AS rank FROM hits",
     "json_results_exact": _with(_DICT, _BENCH, _QUERIES, _fuzzy("1")) + _ANSWERS,
@@ -79,8 +82,8 @@ ORACLE = {
     "index_node_kinds": f"WITH {_TREE} SELECT kind, count(*) AS n FROM kinds GROUP BY kind",
     "index_bytes": f"WITH {_TREE} SELECT CAST(sum(CASE kind WHEN 'node0' THEN 16 WHEN 'node4' THEN 52 WHEN 'node16' THEN 160 WHEN 'node48' THEN 656 ELSE 2064 END) AS BIGINT) AS bytes FROM kinds",
     "index_edges": f"WITH {_TREE} SELECT parent, child, label FROM edge",
-    "index_dot": f"""WITH {_TREE} SELECT 'n' || prefix || ' [label="' || coalesce(CAST(freq AS VARCHAR), '') || '", shape=' || CASE kind WHEN 'node0' THEN 'circle' WHEN 'node4' THEN 'triangle' WHEN 'node16' THEN 'box' WHEN 'node48' THEN 'pentagon' ELSE 'hexagon' END || CASE WHEN freq IS NOT NULL THEN ', color=green' ELSE '' END || ']' AS line FROM kinds
-        UNION ALL SELECT 'n' || parent || ' -> n' || child || ' [label="' || {_LATIN.format('label')} || '"]' FROM edge""",
+    "index_dot": f"""WITH {_TREE} SELECT 'n' || prefix || ' [label="' || coalesce(CAST(freq AS VARCHAR), '') || '", shape=' || CASE kind WHEN 'node0' THEN 'circle' WHEN 'node4' THEN 'triangle' WHEN 'node16' THEN 'box' WHEN 'node48' THEN 'pentagon' ELSE 'hexagon' END || CASE WHEN freq IS NOT NULL THEN ', color=green, style=filled' ELSE '' END || '];' AS line FROM kinds
+        UNION ALL SELECT 'n' || parent || ' -> n' || child || ' [label="' || {_LATIN.format('label')} || '"];' FROM edge""",
     "index_persist_roundtrip": f"WITH {_DICT} SELECT word, freq, {_LATIN.format('hex(encode(word))')} AS wb, CAST(strlen(word) AS INTEGER) AS len FROM dict",
     "results_diff": f"WITH {_BENCH}, {_QUERIES} SELECT qid, 'seeded' AS \"right\" FROM q WHERE qid % 97 = 0",
     "bench_stats_trimmed": "SELECT event_type, median, list_max(list_transform(kept, lambda t: abs(t - median))) AS error FROM (SELECT event_type, kept, kept[len(kept) // 2 + 1] AS median FROM (SELECT event_type, list_sort(list(CAST(floor(value) AS BIGINT)))[3 : count(*) - 2] AS kept FROM events GROUP BY event_type))",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import byte_string, tokens, unsigned
@@ -64,6 +64,37 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("word string, freq long, wb string, len int").parquet(path)
 
 
+def deletions(rows: DataFrame, column: str, levels: int) -> DataFrame:
+    """rows with `variant`, a hash of the byte string `column` without up to `levels` bytes, and `depth`, how many went.
+
+    Bytes go from left to right, so no two orders of the same deletions come up, and nothing needs to be made distinct:
+    this is a map. (Equal neighbours still give equal variants.)
+    """
+    out = level = rows.withColumns({"_rest": F.col(column), "_from": F.lit(1)})
+    out = out.withColumn("depth", F.lit(0))
+    for depth in range(1, levels + 1):
+        spots = F.when(F.col("_from") <= F.length("_rest"), F.sequence("_from", F.length("_rest"))).otherwise(F.array().cast("array<int>"))
+        level = level.withColumn("_at", F.explode(spots))
+        level = level.withColumn("_rest", F.concat(F.substr(F.col("_rest"), F.lit(1), F.col("_at") - 1), F.expr("substr(_rest, _at + 1)"))).withColumn("_from", F.col("_at")).drop("_at")
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out.withColumn("variant", F.xxhash64("_rest")).drop("_rest", "_from")
+
+
+#: Partitions of a persisted variant index: a few queries read few of them.
+VARIANT_PARTS = 64
+
+
+def write_variants(words: DataFrame, path: str, levels: int) -> None:
+    """Persist what approximate search looks up: a row for each word and string that up to `levels` deletions leave, by depth and a part of the variant's hash."""
+    d = words if "wb" in words.columns else with_bytes(words)
+    rows = deletions(d.select("word", "freq", "wb"), "wb", levels).select("variant", "word", "freq", "depth", F.pmod("variant", F.lit(VARIANT_PARTS)).cast("int").alias("part"))
+    rows.repartition(VARIANT_PARTS, "part").sortWithinPartitions("depth", "part", "variant").write.mode("overwrite").partitionBy("depth", "part").parquet(path)
+
+
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("variant long, word string, freq long, depth int, part int").parquet(path)
+
+
 def parse_query_lines(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
     """lines with max_distance and word of `<anything> <distance> <word> ...`. strict as in parse_lines."""
     line: Column = F.col(column)
@@ -84,8 +115,12 @@ def query_lines(words: DataFrame, max_distance: int, command: str = "approx") ->
 def read_queries(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(qid, max_distance, word) of a file of query lines; qid is the line number, which keeps the order of answers.
 
-    Line numbers come from the file's own order: one pass counts the lines of each partition, the next numbers them.
+    A first pass counts the lines of each partition of the scan; a line's number is its place in its partition and the
+    lines of the partitions before. All of it stays in the JVM; one number for each partition is what is broadcast.
     """
-    lines = spark.read.text(path, lineSep="\n")
-    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, qid long")
+    lines = spark.read.text(path, lineSep="\n").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    sizes = lines.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", (before - F.col("first")).alias("shift"))
+    numbered = lines.join(F.broadcast(offsets), "part").select("value", (F.col("place") + F.col("shift")).alias("qid"))
     return parse_query_lines(numbered, strict=strict).drop("value")

@@ -7,12 +7,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexispark import __main__ as modes
 from lexispark.functions import osa as osa_module
 from lexispark.functions.text import auto_distance, bit_kernel_fits, byte_string
 from lexispark.operators import compare, render, search, tree
 from lexispark.sources import dictionary
 from lexispark.streaming.search_stream import answer_batch, answer_stream, line_stream
 
+#: Known pairs and their distances.
 GOLDEN = [("kitten", "sitting", 3), ("Saturday", "Sunday", 3), ("gifts", "profit", 5), ("Something", "Smoething", 1), ("Pomatomus", "Pomatomus", 0), ("kynar", "kaynar", 1), ("kynar", "kayna", 2), ("muahahah", "muhahahah", 1), ("sakit", "safekit", 2), ("ca", "abc", 3), ("é", "e", 2), ("", "abc", 3), ("abc", "", 3), ("", "", 0), ("a" * 70, "a" * 69 + "b", 1)]
 
 
@@ -30,6 +32,33 @@ def test_batch_kernel(pairs):
     assert osa_module.osa_pairs(a, b).tolist() == [osa_module.osa_python(x, y) for x, y in pairs]
 
 
+def test_bit_kernel_around_the_width_of_a_word():
+    rng = random.Random(8)
+    pairs = []
+    for n in (1, 2, 31, 63, 64, 65, 66, 130):
+        for _ in range(12):
+            x = bytes(rng.choice(b"abc\xc3") for _ in range(n))
+            y = list(x)
+            for _ in range(rng.randrange(4)):
+                p = rng.randrange(len(y))
+                if rng.random() < 0.5 and p:
+                    y[p - 1], y[p] = y[p], y[p - 1]
+                else:
+                    y[p : p + rng.randrange(2)] = [97] * rng.randrange(3)
+                y = y or [98]
+            pairs.append((x, bytes(y)))
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    want = [osa_module.osa_python(x, y) for x, y in pairs]
+    assert osa_module.osa_pairs(a, b).tolist() == osa_module.osa_pairs(b, a).tolist() == osa_module.table_pairs(a, b).tolist() == want
+
+
+def test_prefix_distances(spark):
+    df = spark.createDataFrame([(a, b) for a, b, _ in GOLDEN[:13]], "a string, b string")
+    for r in df.select("a", "b", osa_module.prefix_distances(byte_string(F.col("a")), byte_string(F.col("b"))).alias("d")).collect():
+        x, y = r.a.encode(), r.b.encode()
+        assert r.d == [osa_module.osa_python(x[:i], y) for i in range(len(x) + 1)]
+
+
 def test_expression_equals_definition(spark):
     rng = random.Random(2)
     draw = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(7)))
@@ -57,7 +86,7 @@ def test_search_equals_brute_force(spark, strategy):
         w = list(rng.choice(words)[0])
         for _ in range(rng.randrange(3)):
             w.insert(rng.randrange(len(w) + 1), rng.choice("abxé"))
-        queries.append((i, i % 3 if strategy == "variants" else i % 5, "".join(w)))
+        queries.append((i, i % 4 if strategy == "variants" else i % 5, "".join(w)))
     queries += [(900, 1, "nothinglikeit"), (901, 9, "ab")] if strategy != "variants" else []
     q = spark.createDataFrame(queries, "qid long, max_distance int, word string")
     d = spark.createDataFrame(words, "word string, freq long")
@@ -68,6 +97,63 @@ def test_search_equals_brute_force(spark, strategy):
         assert got[qid] == want, (qid, k, w)
 
 
+def test_variant_index_equals_the_plan_without(spark, tmp_path, monkeypatch):
+    words = spark.createDataFrame(vocabulary(), "word string, freq long")
+    dictionary.write_variants(words, f"file://{tmp_path}/v", 2)
+    variants = dictionary.read_variants(spark, f"file://{tmp_path}/v")
+    q = spark.createDataFrame([(i, i % 3, w[::-1] if i % 2 else w + "a") for i, (w, _) in enumerate(vocabulary(9)[::7])], "qid long, max_distance int, word string")
+    rows = lambda df: sorted((r.qid, r.word, r.freq, r.distance) for r in df.collect())
+    want = rows(search.fuzzy(q, words, "lengths"))
+    assert rows(search.fuzzy(q, words, variants=variants)) == want and len(want) > 50
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 0)  # the shuffled form
+    assert rows(search.fuzzy(q, words, variants=variants)) == rows(search.fuzzy(q, words, "variants")) == want
+
+
+def test_files_of_queries_and_answers_keep_their_order(spark, tmp_path):
+    words = spark.createDataFrame(vocabulary(), "word string, freq long")
+    lines = dictionary.query_lines(words.orderBy("word"), 1).select("value").coalesce(1)
+    lines.write.text(f"file://{tmp_path}/lines", lineSep="\n")
+    source = next((tmp_path / "lines").glob("*.txt"))
+    asked = source.read_text().split("\n")[:-1]
+    assert all(x.startswith("approx 1 ") for x in asked)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # several partitions of one file
+    try:
+        q = dictionary.read_queries(spark, f"file://{source}")
+        assert q.rdd.getNumPartitions() > 2
+        assert [(r.qid, r.word) for r in q.orderBy("qid").collect()] == [(i, x.split(" ")[2]) for i, x in enumerate(asked)]
+        render.write_answers(search.answers(q, search.fuzzy(q, words)), f"file://{tmp_path}/answers")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = "".join(p.read_text() for p in sorted((tmp_path / "answers").glob("*.txt"))).split("\n")[:-1]
+    data = vocabulary()
+    for x, line in zip(asked, got, strict=True):
+        w = x.split(" ")[2].encode()
+        near = sorted((osa_module.osa_python(w, v.encode()), -f, v.encode()) for v, f in data if abs(len(v.encode()) - len(w)) < 2)
+        assert line == "[" + ",".join(f'{{"word":"{v.decode()}","freq":{-f},"distance":{d}}}' for d, f, v in near if d < 2) + "]"
+
+
+def test_drawing_has_its_frame(spark, tmp_path):
+    tree.write_dot(spark.createDataFrame([("a", 3), ("ab", 1)], "word string, freq long"), f"file://{tmp_path}/dot")
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "dot").glob("*.txt"))).split("\n")[:-1]
+    assert lines[0] == "digraph G {" and lines[-1] == "}" and all(x.endswith(";") for x in lines[1:-1])
+    assert 'n61 [label="3", shape=hexagon, color=green, style=filled];' in lines and 'n61 -> n6162 [label="b"];' in lines
+
+
+def test_entry_points(spark, tmp_path, capsys):
+    (tmp_path / "d.txt").write_text("hello\t10\nhelp\t5\nworld\t1\n")
+    (tmp_path / "q.txt").write_text("approx 1 helo\napprox 0 world\n")
+    index = f"file://{tmp_path}/index"
+    modes.compile_index(spark, f"file://{tmp_path}/d.txt", index, "1")
+    modes.answer(spark, index, f"file://{tmp_path}/q.txt", f"file://{tmp_path}/out")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.txt"))) == '[{"word":"hello","freq":10,"distance":1},{"word":"help","freq":5,"distance":1}]\n[{"word":"world","freq":1,"distance":0}]\n'
+    assert modes.info(spark, index).first().words == 3
+    modes.graph(spark, index, f"file://{tmp_path}/graph")
+    assert modes.bench(spark, index, "1", runs=5).first().median > 0
+    assert {(r.word, r.distance) for r in modes.smoke(spark).collect()} == {("hello", 1), ("help", 1)}
+    with pytest.raises(SystemExit):
+        modes.main(["unknown"])
+
+
 def test_json_and_extensions(spark):
     q = spark.createDataFrame([(1, 1, "test"), (2, 0, "none"), (3, 1, 'q"uot')], "qid long, max_distance int, word string")
     d = spark.createDataFrame([("test", 3), ("tests", 9), ("tesT", 9), ('q"uote', 2)], "word string, freq long")
