@@ -37,6 +37,8 @@ LEAST_G = 12.0
 THRESHOLD = 0.3
 #: Pairs of words: how far apart, places that they are hashed to, how many may join, least score statistic and documents.
 REACH, PAIR_BITS, PAIRS, LEAST_PAIR, PAIR_DOCS = 6, 20, 64, 40.0, 12
+#: Bytes of text whose pairs are held at once: each word is in REACH of them.
+PAIR_CHUNK = 1 << 19
 CACHE_RUNS = 200_000
 SLICES = 16
 
@@ -233,7 +235,7 @@ def paired_terms(sample: DataFrame, inputs: np.ndarray, machine: Machine) -> np.
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = shared.value
         terms, pairs, sums = Terms(known), Pairs(), np.zeros((3, 1 << PAIR_BITS), np.float32)
-        for table in common.chunks(batches):
+        for table in common.chunks(batches, limit=PAIR_CHUNK):
             texts = common.decoded(table.column("text").to_pylist())
             p = model.score(terms.of(texts))
             doc, a, b = pairs.of(texts)
@@ -258,7 +260,7 @@ def paired_terms(sample: DataFrame, inputs: np.ndarray, machine: Machine) -> np.
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = Pairs()
-        for table in common.chunks(batches):
+        for table in common.chunks(batches, limit=PAIR_CHUNK):
             _, a, b = pairs.of(common.decoded(table.column("text").to_pylist()))
             at = pair_places(a, b)
             here = np.isin(at, wanted)
