@@ -159,27 +159,28 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 def added_columns(df: DataFrame, text: str, ddl: str, start: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], keep_text: bool = True) -> DataFrame:
     """df with the columns of ddl, which start()(texts of a chunk) makes; columns of these names are replaced.
 
-    start runs once in each task. The text goes to the workers once, as bytes, under its own name (so no other column can
-    clash with it), and comes back only if it is kept. A map over rows: nothing is shuffled.
+    start runs once in each task. The text goes to the workers once, as bytes, and comes back only if it is kept. Columns
+    are numbered on the way, so names of any kind will do. A map over rows: nothing is shuffled.
     """
     fields = T._parse_datatype_string(ddl).fields
     names = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in names]
     if text not in kept:
         raise ValueError(f"the column {text} would be replaced")
-    source = df.select(*[quoted(c).cast("binary").alias(c) if c == text else quoted(c) for c in kept])
-    schema = T.StructType([*(f for f in source.schema.fields if keep_text or f.name != text), *fields])
+    source = df.select(*[(quoted(c).cast("binary") if c == text else quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)])
+    body = f"c{kept.index(text)}"
+    schema = T.StructType([*(f for f in source.schema.fields if keep_text or f.name != body), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for chunk in chunks(batches, text):
-            out = chunk if keep_text else chunk.drop_columns([text])
-            for field, column in zip(fields, make(chunk.column(text).to_pylist()), strict=True):
+        for chunk in chunks(batches, body):
+            out = chunk if keep_text else chunk.drop_columns([body])
+            for field, column in zip(fields, make(chunk.column(body).to_pylist()), strict=True):
                 out = out.append_column(field.name, column)
             yield from out.to_batches()
 
-    mapped = source.mapInArrow(run, schema)
-    return mapped.withColumn(text, quoted(text).cast("string")) if keep_text else mapped
+    back = [(F.col(f"c{i}").cast("string") if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(kept) if keep_text or c != text]
+    return source.mapInArrow(run, schema).select(*back, *(f.name for f in fields))
 
 
 def decoded(texts: list[bytes | None]) -> list[str]:

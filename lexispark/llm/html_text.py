@@ -172,8 +172,8 @@ def _page(url: str, html: str):
     return F.xxhash64(common.quoted(url).cast("string"), common.quoted(html).cast("binary"))
 
 
-def removable(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(page, removed): numbers of the blocks of low importance, by a hash of URL and page."""
+def importances(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(page, block, importance) of the blocks in question: a page is known by a hash of URL and page, a block by its number in it."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.chunks(batches, "html"):
@@ -197,27 +197,32 @@ def removable(pages: DataFrame, url: str = "url", html: str = "html", least: flo
     texts = counts.where("not style").join(nodes.where("not style").select("node", "m"), "node").select("node", "feature", F.when(F.col("m") > 1, 1 - F.log("n") / F.log("m")).otherwise(1.0).alias("content"))
     judged = seen.where("block >= 0").join(texts, ["node", "feature"]).join(shape, "node", "left")
     importance = (F.lit(CONTENT_WEIGHT) * F.col("content") + F.lit(1 - CONTENT_WEIGHT) * F.coalesce("presentation", "content")) * (1 - F.col("links"))
-    low = judged.where(importance < least).select("page", "block").distinct()
+    return judged.select("page", "block", importance.alias("importance"))
+
+
+def removable(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(page, removed): numbers of the blocks of low importance."""
+    low = importances(pages, url, html).where(F.col("importance") < least).select("page", "block").distinct()
     return common.table(low.groupBy("page").agg(F.collect_list("block").alias("removed")), "removed")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
     """pages with text and n_chars (code points); columns of these names are replaced."""
     common.tune(pages.sparkSession)
-    page, low, raw = (common.free_name(pages, x) for x in ("page", "removed", "raw"))
+    page, low = (common.free_name(pages, x) for x in ("page", "removed"))
     removed = common.sized(removable(pages, url, html, least).select(F.col("page").alias(page), F.col("removed").alias(low)), rows=100_000)
-    kept = [common.quoted(c) for c in pages.columns if c.lower() not in ("text", "n_chars") and c != html]
-    schema = common.extended(pages.select(*kept).schema, "text string, n_chars long")
-    # The raw page comes last, so that a chunk's other columns are the output's.
-    source = pages.withColumn(page, _page(url, html)).join(removed, page, "left").select(*kept, F.col(low), common.binary(html).alias(raw))
+    kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars") and c != html]  # numbered on the way, so names of any kind will do
+    numbered = [common.quoted(c).alias(f"c{i}") for i, c in enumerate(kept)]
+    schema = common.extended(pages.select(*numbered).schema, "text string, n_chars long")
+    source = pages.withColumn(page, _page(url, html)).join(removed, page, "left").select(*numbered, F.col(low).alias("removed"), common.binary(html).alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.chunks(batches, raw):
-            texts = [text_of(parse((x or b"").decode("utf-8", "replace"))[0], set(gone or ())) for x, gone in zip(table.column(raw).to_pylist(), table.column(low).to_pylist(), strict=True)]
-            out = table.drop_columns([raw, low]).append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
+        for table in common.chunks(batches, "raw"):
+            texts = [text_of(parse((x or b"").decode("utf-8", "replace"))[0], set(gone or ())) for x, gone in zip(table.column("raw").to_pylist(), table.column("removed").to_pylist(), strict=True)]
+            out = table.drop_columns(["raw", "removed"]).append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
             yield from out.to_batches()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "text", "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

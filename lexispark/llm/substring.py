@@ -231,16 +231,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     repeats = repeated_windows(docs, window, gram, text, doc_id)
     at, spans_of = common.free_name(docs, "found_id"), common.free_name(docs, "found")
     wanted = common.sized(repeats.select(F.col("found_id").alias(at), F.col("found").alias(spans_of)), blob=spans_of)
-    kept = docs.select(*[common.binary(c) if c == text else common.quoted(c) for c in docs.columns if c == text or c.lower() not in added])
-    source = kept.join(wanted, common.quoted(doc_id).cast("long") == F.col(at), "left").drop(at)
-    carried = kept.drop(text) if digests_only else kept
+    kept = [c for c in docs.columns if c == text or c.lower() not in added]  # numbered on the way, so names of any kind will do
+    numbered = [(common.binary(c) if c == text else common.quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)]
+    source = docs.join(wanted, common.quoted(doc_id).cast("long") == F.col(at), "left").select(*numbered, F.col(spans_of).alias("found"))
+    body = f"c{kept.index(text)}"
+    carried = source.drop("found", body) if digests_only else source.drop("found")
     extra = "n_words long, n_removed long, kept_sha256 string" + ("" if digests_only else ", repeats array<struct<start: long, stop: long>>")
     schema = common.extended(carried.schema, extra)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.chunks(batches, text):
+        for table in common.chunks(batches, body):
             n_words, n_removed, digest, spans, texts = [], [], [], [], []
-            for raw, blobs in zip(table.column(text).to_pylist(), table.column(spans_of).to_pylist(), strict=True):
+            for raw, blobs in zip(table.column(body).to_pylist(), table.column("found").to_pylist(), strict=True):
                 words = (raw or b"").split()
                 gone, new = [], raw
                 if blobs:
@@ -260,15 +262,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
                 if not digests_only:
                     spans.append([{"start": a, "stop": b} for a, b in gone])
                     texts.append(new)
-            out = table.drop_columns([spans_of])
-            out = out.drop_columns([text]) if digests_only else out.set_column(out.column_names.index(text), text, pa.array(texts, pa.binary()))
+            out = table.drop_columns(["found"])
+            out = out.drop_columns([body]) if digests_only else out.set_column(out.column_names.index(body), body, pa.array(texts, pa.binary()))
             out = out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64())).append_column("kept_sha256", pa.array(digest, pa.string()))
             if not digests_only:
                 out = out.append_column("repeats", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))
             yield from out.to_batches()
 
-    mapped = source.mapInArrow(cut, schema)
-    return mapped if digests_only else mapped.withColumn(text, common.quoted(text).cast("string"))
+    back = [(F.col(f"c{i}").cast("string") if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(kept) if not (digests_only and c == text)]
+    return source.mapInArrow(cut, schema).select(*back, *(x for x in added if not (digests_only and x == "repeats")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

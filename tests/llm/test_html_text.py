@@ -1,5 +1,8 @@
 """Extraction: known pages, repeated parts of a site, broken markup."""
 
+from collections import Counter
+from math import log
+
 from lexispark.llm import html_text as h
 
 
@@ -51,3 +54,36 @@ def test_site_style_tree(spark):
     assert got[51].text == got[52].text == "" and got[52].n_chars == 0
     assert all(got[60 + i].text == "The same article" for i in range(5))
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_importance_equals_a_plain_computation(spark):
+    def page(i):
+        links = "".join(f"<p><a>l{k}</a> t{k % 2}</p>" for k in range(i % 3))
+        return f"<div class=top>Welcome{i % 2}{links}</div><div class=box><p>Same</p><p>Own {i}</p></div>"
+
+    rows = [(i, f"http://{'ab'[i % 5 == 0]}.example/{i}", page(i)) for i in range(24)]
+    got = sorted(round(r.importance, 9) for r in h.importances(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())
+    texts, shapes, seen = Counter(), Counter(), []
+    for _, url, html in rows:
+        blocks, children = h.parse(html)
+        for path, names in children.items():
+            shapes[h.host_of(url), path, tuple(names)] += 1
+        for b in blocks:
+            texts[h.host_of(url), b.path, b.text] += 1
+            seen.append((h.host_of(url), b))
+    want = []
+    for host, b in seen:
+        at = {k[2]: n for k, n in texts.items() if k[:2] == (host, b.path)}
+        m = sum(at.values())
+        content = 1 - log(at[b.text]) / log(m) if m > 1 else 1.0
+        kinds = [n for k, n in shapes.items() if k[:2] == (host, b.path)]
+        total = sum(kinds)
+        shape = content if not kinds else -sum(n / total * log(n / total) for n in kinds) / log(total) if total > 1 else 1.0
+        want.append(round((h.CONTENT_WEIGHT * content + (1 - h.CONTENT_WEIGHT) * shape) * (1 - b.links / len(b.text)), 9))
+    assert all(abs(x - y) < 1e-6 for x, y in zip(got, sorted(want), strict=True)) and len(set(want)) > 5
+
+
+def test_blocks_of_neutral_names_are_for_the_tree():
+    page = "<div class='layout no-sidebar'><div class='a1'><p>x</p></div><div class='form-group'><p>y</p></div></div><article><header class='article-header'><h1>T</h1></header></article>"
+    blocks, _ = h.parse(page)
+    assert [(b.text, b.keep) for b in blocks] == [("x", None), ("y", None), ("T", True)]
