@@ -54,10 +54,14 @@ def with_bytes(words: DataFrame) -> DataFrame:
 
 
 def write_index(words: DataFrame, path: str, parts: int | None = None) -> None:
-    """Persist a dictionary, sorted by word within ranges so that files' statistics serve exact lookups."""
-    ranged = with_bytes(dedupe(words))
-    ranged = ranged.repartitionByRange(parts, "word") if parts else ranged.repartitionByRange("word")
-    ranged.sortWithinPartitions("word").write.mode("overwrite").parquet(path)
+    """Persist a dictionary, sorted by word within ranges so that files' statistics serve exact lookups.
+
+    A search does much work for each byte of an index, so unless parts says otherwise there are as many files as keep all
+    cores busy, however few bytes that makes of each.
+    """
+    spark = words.sparkSession
+    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with_bytes(dedupe(words)).repartitionByRange(parts, "word").sortWithinPartitions("word").write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
