@@ -59,12 +59,38 @@ def tree_edges(words: DataFrame) -> DataFrame:
     return steps.where("parent is not null").select("parent", "child", F.expr("substr(child, length(parent) + 1)").alias("label")).distinct()
 
 
+def _fork_spots(d: DataFrame) -> DataFrame:
+    """(word_key, spots) for each word: the places on its path where the tree cannot join a node into its child (forks and
+    words, so at least its own end), each with whether this word is the one that counts the node.
+
+    A prefix goes by two hashes and its length. The first shuffle combines on the map side: the children of a prefix are
+    four bit sets of bytes, the word that counts it is the least hash. The second brings each word its spots; prefixes that
+    join, the most by far, are gone by then.
+    """
+    key = [F.col("pos"), F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2")]
+    byte = F.ascii(F.expr("substr(wb, pos + 1, 1)"))  # 0 to 255; 0 at the word's end, where it does not count
+    bits = [F.bit_or(F.when((F.col("pos") < F.length("wb")) & (F.floor(F.col("byte") / 64) == i), F.expr("shiftleft(1L, byte % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(4)]
+    steps = prefixes(d).withColumn("byte", byte).select(*key, F.xxhash64("wb").alias("word_key"), "wb", "byte")
+    nodes_ = steps.groupBy("pos", "h1", "h2").agg(*bits, F.max(F.col("pos") == F.length("wb")).alias("is_word"), F.min("word_key").alias("owner"))
+    children = F.bit_count("b0") + F.bit_count("b1") + F.bit_count("b2") + F.bit_count("b3")
+    forks = nodes_.where(F.col("is_word") | (children > 1)).select("pos", "h1", "h2", "owner")
+    met = steps.select("pos", "h1", "h2", "word_key").join(forks, ["pos", "h1", "h2"])
+    return met.groupBy("word_key").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("owner") == F.col("word_key")).alias("counts")))).alias("spots"))
+
+
 def information(words: DataFrame) -> DataFrame:
-    """words, nodes, height, max_length (one more than the longest word, as an index counts its root) and longest_word."""
+    """words, nodes, height, max_length (one more than the longest word, as an index counts its root) and longest_word.
+
+    Between two spots of a word's path every CHAIN-th node stays, and belongs to the lower spot alone.
+    """
     d = words if "wb" in words.columns else with_bytes(words)
     own = d.agg(F.count("*").alias("words"), F.coalesce(F.max("len"), F.lit(0)).cast("long").alias("longest_word")).withColumn("max_length", F.col("longest_word") + 1)
-    path = kept_path(d)
-    shape = path.agg(F.greatest(F.lit(1), F.countDistinct("prefix")).cast("long").alias("nodes"), F.greatest(F.lit(1), F.coalesce(F.max("depth"), F.lit(0))).cast("long").alias("height"))
+    above = F.transform("spots", lambda s, i: F.when(i == 0, -1).otherwise(F.get(F.col("spots"), i - 1)["pos"]))
+    steps = F.zip_with("spots", above, lambda s, a: F.struct(s["counts"].alias("counts"), (1 + F.floor((s["pos"] - a - 1) / CHAIN)).alias("stay")))
+    path = _fork_spots(d).select(steps.alias("steps"))
+    total = lambda kept: F.aggregate(kept, F.lit(0).cast("long"), lambda n, s: n + s["stay"])
+    path = path.select(total(F.filter("steps", lambda s: s["counts"])).alias("nodes"), (total(F.col("steps")) - 1).alias("depth"))
+    shape = path.agg(F.greatest(F.lit(1), F.coalesce(F.sum("nodes"), F.lit(0))).cast("long").alias("nodes"), F.greatest(F.lit(1), F.coalesce(F.max("depth"), F.lit(0))).cast("long").alias("height"))
     return own.crossJoin(F.broadcast(shape)).select("words", "nodes", "height", "max_length", "longest_word")  # one row each
 
 

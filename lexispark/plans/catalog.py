@@ -183,7 +183,7 @@ def unmatched_words(spark, sf):
 
 
 def index_information(spark, sf):
-    return tree.information(corpus_dictionary(spark, sf))
+    return tree.information(corpus_index(spark, sf))
 
 
 def index_words(spark, sf):
@@ -195,20 +195,20 @@ def index_max_length(spark, sf):
 
 
 def index_node_kinds(spark, sf):
-    return tree.node_kinds(corpus_dictionary(spark, sf))
+    return tree.node_kinds(corpus_index(spark, sf))
 
 
 def index_bytes(spark, sf):
-    return tree.index_bytes(corpus_dictionary(spark, sf))
+    return tree.index_bytes(corpus_index(spark, sf))
 
 
 def index_edges(spark, sf):
-    e = tree.tree_edges(corpus_dictionary(spark, sf))
+    e = tree.tree_edges(corpus_index(spark, sf))
     return e.select(*[F.lower(F.hex(F.encode(c, "ISO-8859-1"))).alias(c) for c in ("parent", "child", "label")])
 
 
 def index_dot(spark, sf):
-    return tree.dot_lines(corpus_dictionary(spark, sf)).select("line")
+    return tree.dot_lines(corpus_index(spark, sf)).select("line")
 
 
 def index_persist_roundtrip(spark, sf):
@@ -230,13 +230,14 @@ def bench_stats_trimmed(spark, sf):
 
 
 def stream_search(spark, sf):
-    """Every turn of the conversations is a query line; answers come from a stream over the table's file."""
+    """Every word of every turn of the conversations is a query line; answers come from a stream over the table's file."""
     source = f"{sf}/conversations.parquet"
-    lines = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(spark, source))
-    lines = lines.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.lit("approx 1 "), F.coalesce(F.nullif(F.regexp_extract("text", r"\p{L}+", 0), F.lit("")), F.lit("none"))).alias("value"))
+    turns = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(spark, source))
+    turn = ((F.col("conv_id") * 1000 + F.col("turn")) * 100_000).alias("first")
+    words = turns.select(turn, F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))).alias("place", "word"))
+    lines = words.select((F.col("first") + F.col("place")).alias("qid"), F.concat(F.lit("approx 1 "), "word").alias("value"))
     out = new_path(spark, "answers")
-    words = corpus_index(spark, sf)
-    query = answer_stream(lines, words, lambda df, _: df.write.mode("append").parquet(out), new_path(spark, "checkpoint"))
+    query = answer_stream(lines, corpus_index(spark, sf), lambda df, _: df.write.mode("append").parquet(out), new_path(spark, "checkpoint"))
     query.awaitTermination()
     return spark.read.schema("qid long, json string").parquet(out)
 

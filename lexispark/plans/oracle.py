@@ -28,6 +28,12 @@ pairs AS (SELECT DISTINCT query AS a, word AS b FROM near WHERE dl >= 2 AND dl <
 hits AS (SELECT qid, CAST(k AS INTEGER) AS max_distance, query, word, freq, CAST(coalesce(d, dl) AS INTEGER) AS distance FROM near LEFT JOIN osa ON query = a AND word = b WHERE coalesce(d, dl) <= k)"""
 
 
+def _one_less(columns: str, table: str, word: str = "query") -> str:
+    """Rows of a table with x, the hexadecimal bytes of a word as they are and without each one of them."""
+    bytes_ = f"hex(encode({word}))"
+    return f"SELECT {columns}, {bytes_} AS x FROM {table} UNION ALL SELECT {columns}, substr(h, 1, 2 * i) || substr(h, 2 * i + 3) AS x FROM (SELECT *, {bytes_} AS h, unnest(range(0, strlen({word}))) AS i FROM {table})"
+
+
 _COLUMNS = "qid, max_distance, query, word, freq, distance"
 _JSON = """CASE WHEN count(word) = 0 THEN '[]' ELSE '[' || string_agg('{"word":"' || word || '","freq":' || freq || ',"distance":' || distance || '}', ',' ORDER BY distance, freq DESC, word) || ']' END"""
 _ANSWERS = f"SELECT q.qid, {_JSON} AS json FROM q LEFT JOIN hits USING (qid) GROUP BY q.qid"
@@ -87,5 +93,13 @@ ORACLE = {
     "index_persist_roundtrip": f"WITH {_DICT} SELECT word, freq, {_LATIN.format('hex(encode(word))')} AS wb, CAST(strlen(word) AS INTEGER) AS len FROM dict",
     "results_diff": f"WITH {_BENCH}, {_QUERIES} SELECT qid, 'seeded' AS \"right\" FROM q WHERE qid % 97 = 0",
     "bench_stats_trimmed": "SELECT event_type, median, list_max(list_transform(kept, lambda t: abs(t - median))) AS error FROM (SELECT event_type, kept, kept[len(kept) // 2 + 1] AS median FROM (SELECT event_type, list_sort(list(CAST(floor(value) AS BIGINT)))[3 : count(*) - 2] AS kept FROM events GROUP BY event_type))",
-    "stream_search": _with(_DICT, "q AS (SELECT conv_id * 1000 + turn AS qid, coalesce(nullif(regexp_extract(text, '\\p{L}+'), ''), 'none') AS query FROM conversations)", _fuzzy("1")) + _ANSWERS,
+    "stream_search": f"""WITH {_DICT},
+turns AS (SELECT (conv_id * 1000 + turn) * 100000 AS first, regexp_extract_all(text, '\\p{{L}}+') AS words FROM conversations),
+lines AS (SELECT first + i AS qid, words[i + 1] AS query FROM (SELECT first, words, unnest(range(0, len(words))) AS i FROM turns)),
+asked AS (SELECT DISTINCT query FROM lines),
+left_out AS (SELECT DISTINCT query, x FROM ({_one_less('query', 'asked')})),
+kept_in AS (SELECT DISTINCT word, freq, x FROM ({_one_less('word, freq', 'dict', 'word')})),
+hits AS (SELECT DISTINCT query, word, freq, CAST(damerau_levenshtein(query, word) AS INTEGER) AS distance FROM left_out JOIN kept_in USING (x) WHERE damerau_levenshtein(query, word) <= 1),
+found AS (SELECT query, {_JSON} AS json FROM asked LEFT JOIN hits USING (query) GROUP BY query)
+SELECT qid, json FROM lines JOIN found USING (query)""",
 }

@@ -38,9 +38,15 @@ def dedupe(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.max("freq").alias("freq"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their files have fewer splits than there are cores; larger tables stay where they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def corpus_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Runs of letters of all texts, one row each."""
-    return texts.select(F.explode(F.split(F.col(text), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    """Runs of letters of all texts, one row each. The column is selected before rows are spread, so the scan reads no other."""
+    return spread(texts.select(F.col(text))).select(F.explode(F.split(F.col(text), r"[^\p{L}]+")).alias("word")).where("word <> ''")
 
 
 def from_corpus(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -14,11 +14,12 @@ from lexispark.sources.dictionary import parse_query_lines
 
 
 def answer_batch(lines: DataFrame, words: DataFrame, strategy: str = "auto") -> DataFrame:
-    """(qid, json) for lines (qid, value); lines that are no query answer with null."""
+    """(qid, json) for lines (qid, value); lines that are no query answer with null. Equal queries of a batch are answered once."""
     parsed = parse_query_lines(lines, strict=False)
-    good = parsed.where("corrupt is null").select("qid", "max_distance", "word")
-    answered = answers(good, fuzzy(good, words, strategy)).select("qid", json_exact(F.col("results")).alias("json"))
-    return answered.unionByName(parsed.where("corrupt is not null").select("qid", F.lit(None).cast("string").alias("json")))
+    good = parsed.where("corrupt is null").select("qid", F.concat_ws(" ", "max_distance", "word").alias("asked"), "max_distance", "word")
+    once = good.select(F.col("asked").alias("qid"), "max_distance", "word").distinct()
+    answered = answers(once, fuzzy(once, words, strategy)).select(F.col("qid").alias("asked"), json_exact(F.col("results")).alias("json"))
+    return good.select("qid", "asked").join(answered, "asked").select("qid", "json").unionByName(parsed.where("corrupt is not null").select("qid", F.lit(None).cast("string").alias("json")))
 
 
 def answer_stream(lines: DataFrame, words: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, strategy: str = "auto", available_now: bool = True) -> StreamingQuery:
