@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from lexispark.llm import common
 
 MIN_REVISIT = 100
-#: Bytes of payload of a file, on average; a reader holds one file at a time.
-FILE_BYTES = 16 << 20
+#: Bytes of payload of a file, on average, and how far a record may exceed the size that its files are planned for: a
+#: reader holds one file at a time, so one of GROWTH * FILE_BYTES or of one record at most.
+FILE_BYTES, GROWTH = 16 << 20, 8
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -74,6 +75,7 @@ def records(pages: DataFrame) -> DataFrame:
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Refers-To", F.when(revisit, record_id(F.col("refers_to")))),
+        line("WARC-Refers-To-Date", F.when(revisit, F.lit(DATE))),
         F.when(revisit, line("WARC-Refers-To-Target-URI", _safe(F.col("refers_url")))).otherwise(F.lit("")),
         line("X-Payload-Bytes", F.col("payload_bytes").cast("string")),
         F.lit("Content-Type: application/http;msgtype=response\r\n"),
@@ -84,13 +86,20 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT) -> None:
-    """Write one record per row of pages, payloads that occur before as revisits, to gzip files under path."""
+    """Write one record per row of pages, payloads that occur before as revisits, to gzip files under path (a new folder).
+
+    Large payloads go to files of their own, of fewer records, so one page that is far above the average fills no file.
+    """
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     source = source.withColumns({"payload_digest": F.sha2(F.col("payload").cast("binary"), 256), "payload_bytes": F.octet_length("payload").cast("long")})
     marked = resolve(source, min_bytes)
-    average = source.agg(F.avg("payload_bytes")).first()[0] or 0.0
-    per_file = max(1, int(FILE_BYTES // (average + 600)))
-    records(marked).write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+    average, most = source.agg(F.avg("payload_bytes"), F.max("payload_bytes")).first()
+    low, planned = -1, int(average or 0) + 600  # some 600 bytes of headers
+    while low < (most or 0):  # one job, and one for each eightfold size beyond the average that occurs
+        own = marked.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= GROWTH * planned))
+        mode, low, per_file = "append" if low >= 0 else "errorifexists", GROWTH * planned, max(1, FILE_BYTES // planned)
+        records(own).write.mode(mode).option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+        planned = low
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

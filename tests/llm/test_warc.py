@@ -1,5 +1,6 @@
 """Archives read back, checked against a plain statement of the rules."""
 
+import glob
 import hashlib
 
 from lexispark.llm import warc
@@ -41,3 +42,23 @@ def test_empty_table_and_damage(spark, tmp_path):
     except ValueError:
         return
     raise AssertionError("a wrong length went unnoticed")
+
+
+def test_files_are_bounded_though_sizes_are_not(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    rows = [(i, f"http://h/{i}", f"{i} " * 20) for i in range(300)] + [(1000 + i, "http://big", f"{i}" * 9_000) for i in range(10)] + [(2000 + i, "http://huge", f"{i}" * 400_000) for i in range(2)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    files = [list(warc.parse(warc.gunzip(open(f, "rb").read()))) for f in glob.glob(f"{tmp_path}/w/*.gz")]
+    assert sum(map(len, files)) == len(rows)
+    assert all(len(f) <= 1 or sum(len(block) for _, block in f) <= warc.GROWTH * warc.FILE_BYTES for f in files)
+    assert max(map(len, files)) > 1
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {i: h for i, _, h in rows}
+
+
+def test_repeated_rows_of_the_least_id_are_all_responses(spark, tmp_path):
+    rows = [(1, "u", "x" * 200), (1, "u", "x" * 200), (2, "v", "x" * 200)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = warc.read_archives(spark, f"file://{tmp_path}/w")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got.collect()) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+    assert warc.payloads(got).where("payload is null").isEmpty()
