@@ -1,96 +1,188 @@
 """Statistics and drawing of the compressed prefix tree that an index of the dictionary amounts to.
 
-No tree is built. Every prefix of a word (by bytes) is a node; a node with one child that is no word joins its child,
-seven at most in a row, so along a word every eighth node of such a chain stays. All of it is local to a word, and work
-grows with the bytes of the dictionary.
+No tree is built, and no prefix is written out that is not a node. Every prefix of a word (by bytes) is a node; a node
+with one child that is no word joins its child, seven at most in a row, so along a word every eighth node of such a chain
+stays. What never joins is a word, or a fork: what two neighbours among the sorted words have in common. So each range of
+sorted words yields its forks in one pass with a stack, two for a word at most. Only those on the paths of a range's first
+and last word may go on in other ranges: a few for each range, which the driver adds up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.sources.dictionary import with_bytes
+from lexispark.sources.workspace import new_path
 
 #: Bytes of a node, by the number of children it has room for.
 NODE_BYTES = {"node0": 16, "node4": 52, "node16": 160, "node48": 656, "node256": 2064}
 #: Shapes of the drawing.
 SHAPES = {"node0": "circle", "node4": "triangle", "node16": "box", "node48": "pentagon", "node256": "hexagon"}
 CHAIN = 8
+#: What a row of a range is: a node with all its children, a node that other ranges may add to, the range's first or last word.
+WHOLE, OPEN, FIRST, LAST = range(4)
+RANGE_ROWS = "role int, prefix binary, above int, n_pairs long, is_word boolean, freq long, below int"
 
 
-def prefixes(words: DataFrame) -> DataFrame:
-    """(wb, pos, prefix) for each word and length of prefix."""
-    d = words if "wb" in words.columns else with_bytes(words)
-    return d.select("wb", F.explode(F.sequence(F.lit(0), F.length("wb"))).alias("pos")).withColumn("prefix", F.substr(F.col("wb"), F.lit(1), F.col("pos")))
+def common_lengths(words: list[bytes]) -> np.ndarray:
+    """Bytes that each word has in common with the one before; 0 for the first."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+    out = np.zeros(len(words), np.int64)
+    most = np.minimum(sizes[:-1], sizes[1:])
+    open_, n = np.flatnonzero(most), 0
+    while len(open_):
+        open_ = open_[data[starts[open_] + n] == data[starts[open_ + 1] + n]]
+        n += 1
+        out[open_ + 1] = n
+        open_ = open_[most[open_] > n]
+    return out
 
 
-def nodes(words: DataFrame) -> DataFrame:
-    """All prefixes with n_children and freq (null if no word)."""
-    d = words if "wb" in words.columns else with_bytes(words)
-    own = prefixes(d).select("prefix").distinct()
-    children = own.where("prefix <> ''").groupBy(F.expr("substr(prefix, 1, length(prefix) - 1)").alias("parent")).agg(F.count("*").alias("n_children"))
-    out = own.join(children, F.col("prefix") == F.col("parent"), "left").drop("parent").join(d.select(F.col("wb").alias("prefix"), "freq"), "prefix", "left")
-    return out.withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+def stay(length: int, above: int) -> int:
+    """Nodes that stay between a fork or word and the next such node above it (-1: none), itself included."""
+    return 1 + (length - above - 1) // CHAIN
 
 
-def kept_path(words: DataFrame) -> DataFrame:
-    """(wb, pos, prefix, n_children, freq, depth) of the nodes that stay on each word's path, counted from 0 at the root."""
-    path = prefixes(words).join(nodes(words), "prefix").withColumn("joins", (F.col("n_children") == 1) & F.col("freq").isNull())
-    along = Window.partitionBy("wb").orderBy("pos")
-    run = F.col("pos") - F.coalesce(F.max(F.when(~F.col("joins"), F.col("pos"))).over(along.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
-    kept = path.withColumn("run", run).where(~F.col("joins") | (F.col("run") % CHAIN == 0))
-    return kept.withColumn("depth", F.row_number().over(along) - 1).drop("joins", "run")
+def range_rows(batches: Iterable[tuple[list[bytes], list[int]]]) -> Iterator[tuple]:
+    """RANGE_ROWS of sorted words that differ, with their frequencies.
+
+    On the stack is the path of the word before: [length, lies on the first word's path, pairs of neighbours that part
+    here, is a word, freq, most nodes that stay below it]. A node is done once a word comes that lacks its prefix.
+    """
+    stack: list[list] = []
+    before = None
+    for words, freqs in batches:
+        for word, freq, n in zip(words, freqs, common_lengths([before or b"", *words])[1:].tolist(), strict=True):
+            if before is None:
+                yield (FIRST, word, None, None, None, None, None)
+                stack.append([len(word), True, 0, True, freq, 0])
+                before = word
+                continue
+            if word == before:
+                continue
+            first, deep = False, 0
+            while stack and stack[-1][0] > n:
+                length, first, n_pairs, is_word, own, below = stack.pop()
+                above = max(n, stack[-1][0]) if stack else n
+                yield (OPEN if first else WHOLE, before[:length], None if first else above, n_pairs, is_word, own, below)
+                deep = 0 if first else below + stay(length, above)
+                if stack and stack[-1][0] == above:
+                    stack[-1][5] = max(stack[-1][5], deep)
+            if stack and stack[-1][0] == n:
+                stack[-1][2] += 1
+            else:
+                stack.append([n, first, 1, False, None, deep])
+            stack.append([len(word), False, 0, True, freq, 0])
+            before = word
+    for length, _, n_pairs, is_word, own, below in stack:
+        yield (OPEN, before[:length], None, n_pairs, is_word, own, below)
+    if before is not None:
+        yield (LAST, before, None, None, None, None, None)
+
+
+def joined(rows: Iterable[tuple]) -> tuple[list[tuple], int]:
+    """(prefix, above, n_children, freq) of the open nodes of all ranges, and the most nodes below the root on a path. Ranges follow on each other, so do their first and last words."""
+    found: dict[bytes, list] = {}
+    ends: dict[int, list[bytes]] = {FIRST: [], LAST: []}
+    for role, prefix, _, n_pairs, is_word, freq, below in rows:
+        if role in ends:
+            ends[role].append(prefix)
+            continue
+        node = found.setdefault(prefix, [0, False, None, 0])
+        node[0] += n_pairs
+        if is_word:
+            node[1:3] = True, freq
+        node[3] = max(node[3], below)
+    for last, first in zip(sorted(ends[LAST])[:-1], sorted(ends[FIRST])[1:], strict=True):
+        found.setdefault(last[: common_lengths([last, first])[1]], [0, False, None, 0])[0] += 1
+    out, height, path = [], 0, []
+    for prefix in sorted(found):
+        n_pairs, is_word, freq, below = found[prefix]
+        while path and not prefix.startswith(path[-1][0]):
+            path.pop()
+        above, depth = (len(path[-1][0]), path[-1][1]) if path else (-1, -1)
+        depth += stay(len(prefix), above)
+        height = max(height, depth + below)
+        out.append((prefix, above, n_pairs + (not is_word), freq))
+        path.append((prefix, depth))
+    return out, height
+
+
+def forks(words: DataFrame) -> tuple[DataFrame, int]:
+    """(prefix, pos, above, n_children, freq) of all words and forks, with the length of the next such prefix above (-1: none), and the tree's height. Work is done at once, into a table in the shared folder."""
+    d = words if "wb" in words.columns else with_bytes(words)
+    spark = words.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("role", pa.int32()), ("prefix", pa.binary()), ("above", pa.int32()), ("n_pairs", pa.int64()), ("is_word", pa.bool_()), ("freq", pa.int64()), ("below", pa.int32())])
+        held: list[tuple] = []
+        size = 0
+        for row in range_rows((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches):
+            held.append(row)
+            size += len(row[1])
+            if len(held) >= 20_000 or size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    own = d.where("wb is not null").select(F.encode("wb", "ISO-8859-1").alias("prefix"), F.col("freq").cast("long").alias("freq"))
+    path = new_path(spark, "tree")
+    own.repartitionByRange(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(run, RANGE_ROWS).write.parquet(path)
+    rows = spark.read.schema(RANGE_ROWS).parquet(path)
+    shared, height = joined(rows.where(F.col("role") != WHOLE).collect())  # a few for each range
+    whole = rows.where(F.col("role") == WHOLE).select("prefix", "above", (F.col("n_pairs") + (~F.col("is_word")).cast("long")).alias("n_children"), "freq")
+    out = whole.unionByName(spark.createDataFrame(shared, "prefix binary, above int, n_children long, freq long"))
+    return out.select(F.decode("prefix", "ISO-8859-1").alias("prefix"), F.length("prefix").alias("pos"), "above", "n_children", "freq"), height
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """found, a row for each node that stays, with its length (place) and its parent's (-1 for the root, the shortest of all)."""
+    chain = F.when(F.col("above") + CHAIN < F.col("pos"), F.sequence(F.col("above") + CHAIN, F.col("pos") - 1, F.lit(CHAIN))).otherwise(F.array().cast("array<int>"))
+    each = found.withColumn("place", F.explode(F.concat(chain, F.array("pos"))))
+    up = F.when(F.col("place") < F.col("pos"), F.col("place") - CHAIN).otherwise(F.col("pos") - 1 - F.pmod(F.col("pos") - F.col("above") - 1, F.lit(CHAIN)))
+    return each.withColumn("up", up)
 
 
 def kind(n_children, is_root):
     return F.when(is_root | (n_children > 48), "node256").when(n_children > 16, "node48").when(n_children > 4, "node16").when(n_children > 0, "node4").otherwise("node0")
 
 
-def tree_nodes(words: DataFrame) -> DataFrame:
-    """(prefix, n_children, freq, kind, is_root) of the nodes that stay. The root is the shortest of them and has room for all children."""
-    return kept_path(words).groupBy("prefix").agg(F.first("n_children").alias("n_children"), F.first("freq").alias("freq"), F.min("depth").alias("depth")).withColumn("is_root", F.col("depth") == 0).withColumn("kind", kind(F.col("n_children"), F.col("is_root"))).drop("depth")
+def _nodes(found: DataFrame) -> DataFrame:
+    whole = F.col("place") == F.col("pos")
+    rows = _places(found).select(F.substr(F.col("prefix"), F.lit(1), F.col("place")).alias("prefix"), F.when(whole, F.col("n_children")).otherwise(1).alias("n_children"), F.when(whole, F.col("freq")).alias("freq"), (F.col("up") < 0).alias("is_root"))
+    return rows.withColumn("kind", kind(F.col("n_children"), F.col("is_root")))
 
 
-def tree_edges(words: DataFrame) -> DataFrame:
-    """(parent, child, label): the label is the key byte and the bytes joined into the child."""
-    along = Window.partitionBy("wb").orderBy("pos")
-    steps = kept_path(words).select("wb", "pos", F.lag("prefix").over(along).alias("parent"), F.col("prefix").alias("child"))
-    return steps.where("parent is not null").select("parent", "child", F.expr("substr(child, length(parent) + 1)").alias("label")).distinct()
+def _edges(found: DataFrame) -> DataFrame:
+    cut = lambda start, n: F.substr(F.col("prefix"), start, n)
+    return _places(found).where("up >= 0").select(cut(F.lit(1), F.col("up")).alias("parent"), cut(F.lit(1), F.col("place")).alias("child"), cut(F.col("up") + 1, F.col("place") - F.col("up")).alias("label"))
+
 
+def tree_nodes(words: DataFrame) -> DataFrame:
+    """(prefix, n_children, freq, is_root, kind) of the nodes that stay. The root is the shortest of them and has room for all children."""
+    return _nodes(forks(words)[0])
 
-def _fork_spots(d: DataFrame) -> DataFrame:
-    """(word_key, spots) for each word: the places on its path where the tree cannot join a node into its child (forks and
-    words, so at least its own end), each with whether this word is the one that counts the node.
 
-    A prefix goes by two hashes and its length. The first shuffle combines on the map side: the children of a prefix are
-    four bit sets of bytes, the word that counts it is the least hash. The second brings each word its spots; prefixes that
-    join, the most by far, are gone by then.
-    """
-    key = [F.col("pos"), F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2")]
-    byte = F.ascii(F.expr("substr(wb, pos + 1, 1)"))  # 0 to 255; 0 at the word's end, where it does not count
-    bits = [F.bit_or(F.when((F.col("pos") < F.length("wb")) & (F.floor(F.col("byte") / 64) == i), F.expr("shiftleft(1L, byte % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(4)]
-    steps = prefixes(d).withColumn("byte", byte).select(*key, F.xxhash64("wb").alias("word_key"), "wb", "byte")
-    nodes_ = steps.groupBy("pos", "h1", "h2").agg(*bits, F.max(F.col("pos") == F.length("wb")).alias("is_word"), F.min("word_key").alias("owner"))
-    children = F.bit_count("b0") + F.bit_count("b1") + F.bit_count("b2") + F.bit_count("b3")
-    forks = nodes_.where(F.col("is_word") | (children > 1)).select("pos", "h1", "h2", "owner")
-    met = steps.select("pos", "h1", "h2", "word_key").join(forks, ["pos", "h1", "h2"])
-    return met.groupBy("word_key").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("owner") == F.col("word_key")).alias("counts")))).alias("spots"))
+def tree_edges(words: DataFrame) -> DataFrame:
+    """(parent, child, label): the label is the key byte and the bytes joined into the child."""
+    return _edges(forks(words)[0])
 
 
 def information(words: DataFrame) -> DataFrame:
-    """words, nodes, height, max_length (one more than the longest word, as an index counts its root) and longest_word.
-
-    Between two spots of a word's path every CHAIN-th node stays, and belongs to the lower spot alone.
-    """
+    """words, nodes, height, max_length (one more than the longest word, as an index counts its root) and longest_word."""
     d = words if "wb" in words.columns else with_bytes(words)
     own = d.agg(F.count("*").alias("words"), F.coalesce(F.max("len"), F.lit(0)).cast("long").alias("longest_word")).withColumn("max_length", F.col("longest_word") + 1)
-    above = F.transform("spots", lambda s, i: F.when(i == 0, -1).otherwise(F.get(F.col("spots"), i - 1)["pos"]))
-    steps = F.zip_with("spots", above, lambda s, a: F.struct(s["counts"].alias("counts"), (1 + F.floor((s["pos"] - a - 1) / CHAIN)).alias("stay")))
-    path = _fork_spots(d).select(steps.alias("steps"))
-    total = lambda kept: F.aggregate(kept, F.lit(0).cast("long"), lambda n, s: n + s["stay"])
-    path = path.select(total(F.filter("steps", lambda s: s["counts"])).alias("nodes"), (total(F.col("steps")) - 1).alias("depth"))
-    shape = path.agg(F.greatest(F.lit(1), F.coalesce(F.sum("nodes"), F.lit(0))).cast("long").alias("nodes"), F.greatest(F.lit(1), F.coalesce(F.max("depth"), F.lit(0))).cast("long").alias("height"))
+    found, height = forks(d)
+    stays = 1 + F.floor((F.col("pos") - F.col("above") - 1) / CHAIN)
+    shape = found.agg(F.greatest(F.lit(1), F.coalesce(F.sum(stays), F.lit(0))).cast("long").alias("nodes")).withColumn("height", F.lit(max(1, height)).cast("long"))
     return own.crossJoin(F.broadcast(shape)).select("words", "nodes", "height", "max_length", "longest_word")  # one row each
 
 
@@ -112,8 +204,9 @@ def node_id(prefix):
 def dot_lines(words: DataFrame) -> DataFrame:
     """(line_group, line) of the drawing's body: nodes, then edges. Words are green; byte labels print as Latin-1."""
     shape = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
-    n = tree_nodes(words).select(F.lit(1).alias("line_group"), F.concat(node_id(F.col("prefix")), F.lit(' [label="'), F.coalesce(F.col("freq").cast("string"), F.lit("")), F.lit('", shape='), shape[F.col("kind")], F.when(F.col("freq").isNotNull(), F.lit(", color=green, style=filled")).otherwise(""), F.lit("];")).alias("line"))
-    e = tree_edges(words).select(F.lit(2).alias("line_group"), F.concat(node_id(F.col("parent")), F.lit(" -> "), node_id(F.col("child")), F.lit(' [label="'), F.col("label"), F.lit('"];')).alias("line"))
+    found = forks(words)[0]
+    n = _nodes(found).select(F.lit(1).alias("line_group"), F.concat(node_id(F.col("prefix")), F.lit(' [label="'), F.coalesce(F.col("freq").cast("string"), F.lit("")), F.lit('", shape='), shape[F.col("kind")], F.when(F.col("freq").isNotNull(), F.lit(", color=green, style=filled")).otherwise(""), F.lit("];")).alias("line"))
+    e = _edges(found).select(F.lit(2).alias("line_group"), F.concat(node_id(F.col("parent")), F.lit(" -> "), node_id(F.col("child")), F.lit(' [label="'), F.col("label"), F.lit('"];')).alias("line"))
     return n.unionByName(e)
 
 

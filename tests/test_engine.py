@@ -231,6 +231,45 @@ def test_tree_of_nothing(spark):
     assert (r.words, r.nodes, r.height, r.max_length) == (0, 1, 1, 1)
 
 
+def by_prefixes(words):
+    """Words and forks by their definition: {prefix: (above, n_children, freq)}, and the height."""
+    every = {w[:i] for w in words for i in range(len(w) + 1)}
+    n_children = {p: sum(c[:-1] == p for c in every if c) for p in every}
+    own = {p for p in every if n_children[p] != 1 or p in words}
+    above = {p: max((i for i in range(len(p)) if p[:i] in own), default=-1) for p in own}
+    depth = lambda w: sum(tree.stay(i, above[w[:i]]) for i in range(len(w) + 1) if w[:i] in own) - 1
+    return {p: (above[p], n_children[p], words.get(p)) for p in own}, max(map(depth, words))
+
+
+def test_ranges_of_sorted_words_add_up():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = {bytes(rng.choice(b"ab") for _ in range(rng.randrange(7))) + rng.choice([b"", b"", b"c" * 20, b"d" * 9]): rng.randrange(1, 9) for _ in range(rng.randrange(1, 14))}
+        srt = sorted(words)
+        cuts = sorted(rng.sample(range(len(srt) + 1), rng.randrange(2)) + rng.sample(range(len(srt) + 1), rng.randrange(2)))
+        ranges = [srt[a:b] for a, b in zip([0, *cuts], [*cuts, len(srt)], strict=True)]
+        rng.shuffle(ranges)
+        rows = [row for part in ranges for row in tree.range_rows([(x, [words[w] for w in x]) for x in (part[:2], part[2:]) if x])]
+        more, height = tree.joined(row for row in rows if row[0] != tree.WHOLE)
+        got = [(r[1], r[2], r[3] + (not r[4]), r[5]) for r in rows if r[0] == tree.WHOLE] + more
+        want, want_height = by_prefixes(words)
+        assert len(got) == len(want) and {p: tuple(r) for p, *r in got} == want and height == want_height
+
+
+def hash_tables(df):
+    """Joins by key of a plan: their build sides are what filled the driver."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") if x in plan]
+
+
+def tree_words(spark):
+    return spark.createDataFrame([(f"w{i % 7}{i}", i + 1) for i in range(50)], "word string, freq long")
+
+
+def test_index_bytes_join_nothing(spark):
+    assert not hash_tables(tree.index_bytes(tree_words(spark)))
+
+
 def test_compare(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "qid long, results string")
     b = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, None)], "qid long, results string")
