@@ -274,6 +274,10 @@ def test_dot_lines_join_nothing(spark):
     assert not hash_tables(tree.dot_lines(tree_words(spark)))
 
 
+def test_tree_edges_join_nothing(spark):
+    assert not hash_tables(tree.tree_edges(tree_words(spark)))
+
+
 def test_compare(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "qid long, results string")
     b = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, None)], "qid long, results string")
