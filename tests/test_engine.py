@@ -282,6 +282,10 @@ def test_information_joins_nothing_by_key(spark):
     assert not hash_tables(tree.information(tree_words(spark)))
 
 
+def test_node_kinds_join_nothing(spark):
+    assert not hash_tables(tree.node_kinds(tree_words(spark)))
+
+
 def test_compare(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "qid long, results string")
     b = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, None)], "qid long, results string")
