@@ -10,8 +10,8 @@ best entropy lies beyond what learning rows of that language show are marked as
 
 Bounds: no n-gram is left out. Languages are taken in groups of at most MODEL_KEYS keys and MODEL_CELLS numbers (a larger
 language is a group of its own), each group's model is broadcast on its own, and of several a worker holds one at a time;
-so the driver and a worker need memory for the largest language. Temperature and rejection limits are fitted on at most
-CALIBRATION_ROWS learning rows.
+so the driver and a worker need memory for the largest language. Temperature and rejection limits come from all learning
+rows: partitions send sums.
 
 Defined results: null texts and texts without letters are `und` with score 0; without learning rows everything is `und`;
 rows without an id are not learned from and count as not held out; repeated rows are kept; other columns do not matter.
@@ -34,7 +34,6 @@ CODE_BITS = 12
 MARK = 1  # code of a run's ends
 MODEL_CELLS = 8_000_000
 MODEL_KEYS = 1_500_000
-CALIBRATION_ROWS = 4000
 CACHE_RUNS = 250_000
 SHIFT = U64(CODE_BITS)
 LOW = [U64((1 << (CODE_BITS * m)) - 1) for m in range(ORDER + 1)]
@@ -279,17 +278,49 @@ def learn_counts(docs: DataFrame, text: str, lang: str) -> Iterator[dict[str, tu
         yield {name: add_up(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts])) for name, parts in out.items()}
 
 
-def calibrate(entropies: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray]:
-    """Temperature that makes the right languages likeliest, and each language's limit on the best entropy."""
-    best, loss = 0.05, np.inf
-    for t in np.geomspace(0.01, 2.0, 40):
-        z = -entropies / t
-        z = z - z.max(1, keepdims=True)
-        own = float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), right]))
-        if own < loss:
-            best, loss = float(t), own
-    limits = np.array([(x.mean() + 6 * x.std() + 0.3) if len(x := entropies[right == i, i]) else np.inf for i in range(entropies.shape[1])])
-    return best, limits
+TEMPERATURES = np.geomspace(0.01, 2.0, 40)
+
+
+class Calibration:
+    """What temperature and limits need of learning rows: each temperature's loss, and number, mean and squared deviations of each language's own entropies. Sums of parts add up."""
+
+    def __init__(self, size: int):
+        self.loss = np.zeros(len(TEMPERATURES))
+        self.n, self.mean, self.square = np.zeros((3, size))
+
+    def add(self, entropies: np.ndarray, right: np.ndarray) -> None:
+        if not len(right):
+            return
+        rows = np.arange(len(right))
+        lowest = entropies.min(1, keepdims=True)
+        for i, t in enumerate(TEMPERATURES):
+            z = (lowest - entropies) / t
+            self.loss[i] += float(np.sum(np.log(np.exp(z).sum(1)) - z[rows, right]))
+        size, own = len(self.n), entropies[rows, right]
+        n = np.bincount(right, minlength=size).astype(float)
+        mean = np.bincount(right, own, size) / np.maximum(n, 1)
+        self._join(n, mean, np.bincount(right, (own - mean[right]) ** 2, size))
+
+    def _join(self, n: np.ndarray, mean: np.ndarray, square: np.ndarray) -> None:
+        both, apart = np.maximum(self.n + n, 1), mean - self.mean
+        self.square += square + apart**2 * self.n * n / both
+        self.mean = self.mean + apart * n / both
+        self.n = self.n + n
+
+    def packed(self) -> bytes:
+        return np.concatenate([self.loss, self.n, self.mean, self.square]).tobytes()
+
+    def add_packed(self, data: bytes) -> None:
+        loss, rest = np.split(np.frombuffer(data, float), [len(TEMPERATURES)])
+        self.loss = self.loss + loss
+        self._join(*rest.reshape(3, -1))
+
+    def result(self) -> tuple[float, np.ndarray]:
+        """Temperature that makes the right languages likeliest, and each language's limit on the best entropy."""
+        if not self.n.sum():
+            return 0.1, np.full(len(self.n), np.inf)
+        limits = self.mean + 6 * np.sqrt(self.square / np.maximum(self.n, 1)) + 0.3
+        return float(TEMPERATURES[self.loss.argmin()]), np.where(self.n > 0, limits, np.inf)
 
 
 def identify(docs: DataFrame, learn: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
@@ -305,19 +336,21 @@ def identify(docs: DataFrame, learn: DataFrame, text: str = "text", lang: str =
         kept = [common.quoted(c) for c in docs.columns if c.lower() not in ("lang_pred", "score", "cross_entropy", "rejected") and (keep_text or c != text)]
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     fit = learn.where(common.quoted(lang).isNotNull()).select(common.binary(text).alias("text"), common.quoted(lang).alias("lang"))
-    share = min(1.0, 1.5 * CALIBRATION_ROWS / max(1, fit.count()))  # by a hash of the text, before rows of any partition are gathered
-    fit = fit.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(CALIBRATION_ROWS)
-    size = len(langs)
+    size, place_of = len(langs), {name: i for i, name in enumerate(langs)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared, size)
+        scorer, sums = Scorer(shared, size), Calibration(size)
         for table in common.chunks(batches):
             h = scorer.entropies(common.decoded(table.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([table.column("lang").combine_chunks(), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "h"])
-
-    sample = [(r.lang, r.h) for r in fit.mapInArrow(measure, "lang string, h array<double>").collect() if np.isfinite(r.h[0]) and r.lang in langs]
-    place_of = {name: i for i, name in enumerate(langs)}
-    temperature, limits = calibrate(np.array([h for _, h in sample]).reshape(-1, size), np.array([place_of[x] for x, _ in sample], np.int64)) if sample else (0.1, np.full(size, np.inf))
+            right = np.array([place_of.get(x, -1) for x in table.column("lang").to_pylist()], np.int64)
+            known = np.isfinite(h[:, 0]) & (right >= 0)
+            sums.add(h[known], right[known])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.packed()], pa.binary())], names=["sums"])
+
+    sums = Calibration(size)
+    for r in fit.mapInArrow(measure, "sums binary").collect():  # a row of a few hundred numbers for each partition
+        sums.add_packed(r["sums"])
+    temperature, limits = sums.result()
 
     def start():
         scorer = Scorer(shared, size)

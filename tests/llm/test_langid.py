@@ -93,3 +93,28 @@ def test_groups_are_bounded_and_hold_all():
     groups = langid.groups_of({f"l{i:03}": 400_000 for i in range(100)} | {"big": 9_000_000})
     assert sorted(x for g in groups for x in g) == sorted([f"l{i:03}" for i in range(100)] + ["big"])
     assert ["big"] in groups and max(map(len, groups)) == 3
+
+
+def test_calibration_sums_equal_the_definition():
+    rng = np.random.default_rng(4)
+    h, right = rng.uniform(1, 4, (500, 3)), rng.integers(0, 2, 500)
+    h[np.arange(500), right] -= 0.7
+    sums = langid.Calibration(3)
+    for i in range(0, 500, 90):
+        part = langid.Calibration(3)
+        for j in range(i, min(500, i + 90), 40):
+            part.add(h[j : min(j + 40, i + 90, 500)], right[j : min(j + 40, i + 90, 500)])
+        sums.add_packed(part.packed())
+    temperature, limits = sums.result()
+    loss = [np.mean(np.log(np.exp(-h / t - (-h / t).max(1, keepdims=True)).sum(1)) - (-h / t - (-h / t).max(1, keepdims=True))[np.arange(500), right]) for t in langid.TEMPERATURES]
+    assert temperature == langid.TEMPERATURES[np.argmin(loss)] and sums.n.tolist() == [*np.bincount(right, minlength=3)]
+    assert all(np.isclose(limits[i], (own := h[right == i, i]).mean() + 6 * own.std() + 0.3) for i in (0, 1)) and np.isinf(limits[2])
+
+
+def test_calibration_takes_every_learning_row(spark, monkeypatch):
+    rows = [(i, f"the house {i % 7} water", "en") if i % 2 else (i, "das haus und wasser", "de") for i in range(4600)] + [(9000, None, "en"), (9001, "maison", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen, result = [], langid.Calibration.result
+    monkeypatch.setattr(langid.Calibration, "result", lambda self: (seen.append(self.n.tolist()), result(self))[1])
+    langid.identify(df.limit(1), df)
+    assert seen == [[2300.0, 2300.0]]
