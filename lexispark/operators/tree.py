@@ -4,11 +4,12 @@ No tree is built, and no prefix is written out that is not a node. Every prefix
 with one child that is no word joins its child, seven at most in a row, so along a word every eighth node of such a chain
 stays. What never joins is a word, or a fork: what two neighbours among the sorted words have in common. So each range of
 sorted words yields its forks in one pass with a stack, two for a word at most. Only those on the paths of a range's first
-and last word may go on in other ranges: a few for each range, which the driver adds up.
+and last word may go on in other ranges: a few for each range, of which the driver adds up numbers by their lengths.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ NODE_BYTES = {"node0": 16, "node4": 52, "node16": 160, "node48": 656, "node256":
 #: Shapes of the drawing.
 SHAPES = {"node0": "circle", "node4": "triangle", "node16": "box", "node48": "pentagon", "node256": "hexagon"}
 CHAIN = 8
-#: What a row of a range is: a node with all its children, a node that other ranges may add to, the range's first or last word.
-WHOLE, OPEN, FIRST, LAST = range(4)
-RANGE_ROWS = "role int, prefix binary, above int, n_pairs long, is_word boolean, freq long, below int"
+#: What a row of a range is: a node with all its children, or the range's ends: its first word (prefix) and its last, with the
+#: nodes on their paths that other ranges may add to, as OPEN: [length, n_pairs, is a word, freq, below], shortest first. Of
+#: them only lengths go to the driver: a path of nested words has as many nodes as bytes.
+WHOLE, ENDS = range(2)
+RANGE_ROWS = "role int, prefix binary, above int, n_pairs long, is_word boolean, freq long, below int, last binary, on_first array<array<long>>, on_last array<array<long>>"
 
 
 def common_lengths(words: list[bytes]) -> np.ndarray:
@@ -56,13 +59,13 @@ def range_rows(batches: Iterable[tuple[list[bytes], list[int]]]) -> Iterator[tup
     here, is a word, freq, most nodes that stay below it]. A node is done once a word comes that lacks its prefix.
     """
     stack: list[list] = []
-    before = None
+    on_first: list[list] = []
+    start = before = None
     for words, freqs in batches:
         for word, freq, n in zip(words, freqs, common_lengths([before or b"", *words])[1:].tolist(), strict=True):
             if before is None:
-                yield (FIRST, word, None, None, None, None, None)
                 stack.append([len(word), True, 0, True, freq, 0])
-                before = word
+                start = before = word
                 continue
             if word == before:
                 continue
@@ -70,7 +73,10 @@ def range_rows(batches: Iterable[tuple[list[bytes], list[int]]]) -> Iterator[tup
             while stack and stack[-1][0] > n:
                 length, first, n_pairs, is_word, own, below = stack.pop()
                 above = max(n, stack[-1][0]) if stack else n
-                yield (OPEN if first else WHOLE, before[:length], None if first else above, n_pairs, is_word, own, below)
+                if first:
+                    on_first.append([length, n_pairs, int(is_word), own, below])
+                else:
+                    yield (WHOLE, before[:length], above, n_pairs, is_word, own, below, None, None, None)
                 deep = 0 if first else below + stay(length, above)
                 if stack and stack[-1][0] == above:
                     stack[-1][5] = max(stack[-1][5], deep)
@@ -80,38 +86,61 @@ def range_rows(batches: Iterable[tuple[list[bytes], list[int]]]) -> Iterator[tup
                 stack.append([n, first, 1, False, None, deep])
             stack.append([len(word), False, 0, True, freq, 0])
             before = word
-    for length, _, n_pairs, is_word, own, below in stack:
-        yield (OPEN, before[:length], None, n_pairs, is_word, own, below)
     if before is not None:
-        yield (LAST, before, None, None, None, None, None)
+        yield (ENDS, start, None, None, None, None, None, before, on_first[::-1], [[x[0], x[2], int(x[3]), *x[4:]] for x in stack])
 
 
-def joined(rows: Iterable[tuple]) -> tuple[list[tuple], int]:
-    """(prefix, above, n_children, freq) of the open nodes of all ranges, and the most nodes below the root on a path. Ranges follow on each other, so do their first and last words."""
-    found: dict[bytes, list] = {}
-    ends: dict[int, list[bytes]] = {FIRST: [], LAST: []}
-    for role, prefix, _, n_pairs, is_word, freq, below in rows:
-        if role in ends:
-            ends[role].append(prefix)
-            continue
-        node = found.setdefault(prefix, [0, False, None, 0])
-        node[0] += n_pairs
+def merge(path: list[list], more: list[list]) -> None:
+    """Add OPEN nodes to those of a path, both shortest first, each length once."""
+    cut = bisect_left(path, more[0][0], key=lambda node: node[0]) if more else len(path)
+    found = {node[0]: node for node in path[cut:]}
+    for length, n_pairs, is_word, freq, below in more:
+        node = found.setdefault(length, [length, 0, 0, None, 0])
+        node[1] += n_pairs
         if is_word:
-            node[1:3] = True, freq
-        node[3] = max(node[3], below)
-    for last, first in zip(sorted(ends[LAST])[:-1], sorted(ends[FIRST])[1:], strict=True):
-        found.setdefault(last[: common_lengths([last, first])[1]], [0, False, None, 0])[0] += 1
-    out, height, path = [], 0, []
-    for prefix in sorted(found):
-        n_pairs, is_word, freq, below = found[prefix]
-        while path and not prefix.startswith(path[-1][0]):
-            path.pop()
-        above, depth = (len(path[-1][0]), path[-1][1]) if path else (-1, -1)
-        depth += stay(len(prefix), above)
-        height = max(height, depth + below)
-        out.append((prefix, above, n_pairs + (not is_word), freq))
-        path.append((prefix, depth))
-    return out, height
+            node[2:4] = 1, freq
+        node[4] = max(node[4], below)
+    path[cut:] = [found[length] for length in sorted(found)]
+
+
+def open_nodes(rows: Iterable[tuple]) -> tuple[list[tuple[bytes, list[list]]], int]:
+    """(word, [[length, above, n_children, freq], ...]) of the nodes on the paths of all ranges' ends, and the most nodes below the root on a path. Ranges follow on each other, so do their ends: a stack goes along them as in range_rows."""
+    out: list[tuple[bytes, list[list]]] = []
+    path: list[list] = []
+    deep, before = 0, None
+
+    def leave(word: bytes, n: int) -> int:
+        """Take off the path of word what is longer than n; the most nodes that stay below n there."""
+        done, deep = [], 0
+        while path and path[-1][0] > n:
+            length, n_pairs, is_word, freq, below = path.pop()
+            above = max(n, path[-1][0]) if path else n
+            done.append([length, above, n_pairs + (not is_word), freq])
+            deep = below + stay(length, above)
+            if path and path[-1][0] == above:
+                path[-1][4] = max(path[-1][4], deep)
+        out.append((word, done))
+        return deep
+
+    for _, start, *_, last, on_first, on_last in sorted(rows, key=lambda row: row[1]):
+        if before is not None:
+            n = int(common_lengths([before, start])[1])
+            deep = leave(before, n)
+            merge(path, [[n, 1, 0, None, deep if not path or path[-1][0] < n else 0]])
+        n = int(common_lengths([start, last])[1])
+        merge(path, [*(x for x in on_last if x[0] <= n), *on_first])
+        leave(start, n)
+        merge(path, [x for x in on_last if x[0] > n])
+        before = last
+    if before is not None:
+        deep = leave(before, -1)
+    return [x for x in out if x[1]], max(0, deep - 1)
+
+
+def joined(rows: Iterable[tuple]) -> tuple[list[tuple], int]:
+    """open_nodes with their prefixes: (prefix, above, n_children, freq), as forks has executors write them out."""
+    found, height = open_nodes(rows)
+    return [(word[:length], *node) for word, nodes in found for length, *node in nodes], height
 
 
 def forks(words: DataFrame) -> tuple[DataFrame, int]:
@@ -121,7 +150,8 @@ def forks(words: DataFrame) -> tuple[DataFrame, int]:
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("role", pa.int32()), ("prefix", pa.binary()), ("above", pa.int32()), ("n_pairs", pa.int64()), ("is_word", pa.bool_()), ("freq", pa.int64()), ("below", pa.int32())])
+        nodes = pa.list_(pa.list_(pa.int64()))
+        schema = pa.schema([("role", pa.int32()), ("prefix", pa.binary()), ("above", pa.int32()), ("n_pairs", pa.int64()), ("is_word", pa.bool_()), ("freq", pa.int64()), ("below", pa.int32()), ("last", pa.binary()), ("on_first", nodes), ("on_last", nodes)])
         held: list[tuple] = []
         size = 0
         for row in range_rows((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches):
@@ -137,9 +167,11 @@ def forks(words: DataFrame) -> tuple[DataFrame, int]:
     path = new_path(spark, "tree")
     own.repartitionByRange(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(run, RANGE_ROWS).write.parquet(path)
     rows = spark.read.schema(RANGE_ROWS).parquet(path)
-    shared, height = joined(rows.where(F.col("role") != WHOLE).collect())  # a few for each range
+    shared, height = open_nodes(rows.where(F.col("role") == ENDS).collect())  # one for each range
     whole = rows.where(F.col("role") == WHOLE).select("prefix", "above", (F.col("n_pairs") + (~F.col("is_word")).cast("long")).alias("n_children"), "freq")
-    out = whole.unionByName(spark.createDataFrame(shared, "prefix binary, above int, n_children long, freq long"))
+    each = spark.createDataFrame(shared, "word binary, nodes array<array<long>>").select("word", F.explode("nodes").alias("node"))
+    length, above, n_children, freq = (F.col("node")[i] for i in range(4))
+    out = whole.unionByName(each.select(F.substr(F.col("word"), F.lit(1), length.cast("int")).alias("prefix"), above.cast("int").alias("above"), n_children.alias("n_children"), freq.alias("freq")))
     return out.select(F.decode("prefix", "ISO-8859-1").alias("prefix"), F.length("prefix").alias("pos"), "above", "n_children", "freq"), height
 
 

@@ -256,6 +256,35 @@ def test_ranges_of_sorted_words_add_up():
         assert len(got) == len(want) and {p: tuple(r) for p, *r in got} == want and height == want_height
 
 
+def test_many_ranges_of_nested_words_add_up():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = {b"a" * rng.randrange(30) + bytes(rng.choice(b"ab") for _ in range(rng.randrange(5))): rng.choice([None, 1, 2]) for _ in range(rng.randrange(1, 25))}
+        srt = sorted(words)
+        cuts = sorted(rng.randrange(len(srt) + 1) for _ in range(rng.randrange(9)))
+        ranges = [srt[a:b] for a, b in zip([0, *cuts], [*cuts, len(srt)], strict=True)]
+        rng.shuffle(ranges)
+        rows = [row for part in ranges for row in tree.range_rows([([w], [words[w]]) for w in part])]
+        more, height = tree.joined(row for row in rows if row[0] != tree.WHOLE)
+        got = [(r[1], r[2], r[3] + (not r[4]), r[5]) for r in rows if r[0] == tree.WHOLE] + more
+        want, want_height = by_prefixes(words)
+        assert len(got) == len(want) and {p: tuple(r) for p, *r in got} == want and height == want_height
+
+
+def sent_by_nested_words(spark, monkeypatch, query):
+    """Bytes of words and prefixes that a query over words which all begin each other brings to the driver, in words of the longest."""
+    words = spark.createDataFrame([("a" * k, k) for k in range(1, 301)], "word string, freq long")
+    kept, collect = [], type(words).collect
+    monkeypatch.setattr(type(words), "collect", lambda df: kept.extend(got := collect(df)) or got)
+    out = query(words)
+    return collect(out), sum(len(x) for row in kept for x in row if isinstance(x, (bytes, bytearray))) / 300
+
+
+def test_edges_of_nested_words_stay_off_the_driver(spark, monkeypatch):
+    rows, sent = sent_by_nested_words(spark, monkeypatch, tree.tree_edges)
+    assert {(r.parent, r.child, r.label) for r in rows} == {("a" * k, "a" * (k + 1), "a") for k in range(1, 300)} and sent <= 2 * 4
+
+
 def test_segments_leave_few_pairs_and_lose_none(spark, monkeypatch):
     """Words of 6 to 20 bytes don't meet on length; swaps around the cuts are found."""
     rng = random.Random(11)
