@@ -280,6 +280,11 @@ def sent_by_nested_words(spark, monkeypatch, query):
     return collect(out), sum(len(x) for row in kept for x in row if isinstance(x, (bytes, bytearray))) / 300
 
 
+def test_dot_lines_of_nested_words_stay_off_the_driver(spark, monkeypatch):
+    rows, sent = sent_by_nested_words(spark, monkeypatch, tree.dot_lines)
+    assert len(rows) == 599 and sent <= 2 * 4
+
+
 def test_edges_of_nested_words_stay_off_the_driver(spark, monkeypatch):
     rows, sent = sent_by_nested_words(spark, monkeypatch, tree.tree_edges)
     assert {(r.parent, r.child, r.label) for r in rows} == {("a" * k, "a" * (k + 1), "a") for k in range(1, 300)} and sent <= 2 * 4
