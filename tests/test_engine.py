@@ -295,6 +295,11 @@ def test_information_of_nested_words_stays_off_the_driver(spark, monkeypatch):
     assert [(r.words, r.nodes, r.height, r.max_length) for r in rows] == [(300, 300, 299, 301)] and sent <= 2 * 4
 
 
+def test_node_kinds_of_nested_words_stay_off_the_driver(spark, monkeypatch):
+    rows, sent = sent_by_nested_words(spark, monkeypatch, tree.node_kinds)
+    assert {r.kind: r.n for r in rows} == {"node256": 1, "node4": 298, "node0": 1} and sent <= 2 * 4
+
+
 def test_segments_leave_few_pairs_and_lose_none(spark, monkeypatch):
     """Words of 6 to 20 bytes don't meet on length; swaps around the cuts are found."""
     rng = random.Random(11)
