@@ -4,13 +4,19 @@ No tree is built, and no prefix is written out that is not a node. Every prefix
 with one child that is no word joins its child, seven at most in a row, so along a word every eighth node of such a chain
 stays. What never joins is a word, or a fork: what two neighbours among the sorted words have in common. So each range of
 sorted words yields its forks in one pass with a stack, two for a word at most. Only those on the paths of a range's first
-and last word may go on in other ranges: a few for each range, of which the driver adds up numbers by their lengths.
+and last word may go on in other ranges: a few for each range, which one task adds up by their lengths.
+
+Words may be long, so the driver is sent none: tasks draw a sample of them, one task picks where ranges begin, and the
+driver gets those beginnings only, cut after the first byte that tells them from the word before and without what they
+have in common.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import random
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +32,14 @@ NODE_BYTES = {"node0": 16, "node4": 52, "node16": 160, "node48": 656, "node256":
 SHAPES = {"node0": "circle", "node4": "triangle", "node16": "box", "node48": "pentagon", "node256": "hexagon"}
 CHAIN = 8
 #: What a row of a range is: a node with all its children, or the range's ends: its first word (prefix) and its last, with the
-#: nodes on their paths that other ranges may add to, as OPEN: [length, n_pairs, is a word, freq, below], shortest first. Of
-#: them only lengths go to the driver: a path of nested words has as many nodes as bytes.
+#: nodes on their paths that other ranges may add to, as OPEN: [length, n_pairs, is a word, freq, below], shortest first. They
+#: have lengths, not prefixes: a path of nested words has as many nodes as bytes.
 WHOLE, ENDS = range(2)
 RANGE_ROWS = "role int, prefix binary, above int, n_pairs long, is_word boolean, freq long, below int, last binary, on_first array<array<long>>, on_last array<array<long>>"
+NODE_ROWS = "prefix binary, above int, n_children long, freq long"
+#: Words that a task gives at least to the sample that ranges are cut by (if it has as many), and bytes of the sample, of as many
+#: tasks as there are ranges. The sample decides how even ranges are, and nothing else.
+SAMPLE_WORDS, SAMPLE_BYTES = 100, 8 << 20
 
 
 def common_lengths(words: list[bytes]) -> np.ndarray:
@@ -143,35 +153,114 @@ def joined(rows: Iterable[tuple]) -> tuple[list[tuple], int]:
     return [(word[:length], *node) for word, nodes in found for length, *node in nodes], height
 
 
+def drawn(batches: Iterable[list[bytes]], most: int, most_bytes: int) -> list[tuple[bytes, int]]:
+    """(word, weight) of up to twice as many words as given, and no more bytes; longer words are cut. Weights stand for bytes of all words, and some for each word itself."""
+    rng, share = random.Random(0), 1.0
+    kept: list[tuple[bytes, int]] = []
+    size = 0
+    for words in batches:
+        for word in words:
+            if share < 1 and rng.random() >= share:
+                continue
+            kept.append((word[:most_bytes], len(word) + 50))
+            size += len(kept[-1][0])
+            while len(kept) > 2 * most or size > most_bytes:
+                kept, share = [x for x in kept if rng.random() < 0.5], share / 2
+                size = sum(len(word) for word, _ in kept)
+    return [(word, int(weight / share)) for word, weight in kept]
+
+
+def beginnings(sample: Iterable[tuple[bytes, int]], parts: int) -> list[tuple[int, bytes]]:
+    """Where up to parts ranges of words begin, the first aside: (bytes in common with the beginning before, the other bytes), in order."""
+    words: dict[bytes, int] = {}
+    for word, weight in sample:
+        words[word] = words.get(word, 0) + weight
+    srt = sorted(words)
+    same = common_lengths(srt).tolist()
+    sums = [0, *accumulate(words[word] for word in srt)]
+    out, before = [], b""
+    for i in range(1, len(srt)):
+        if sums[i] * parts // sums[-1] > sums[i - 1] * parts // sums[-1]:
+            at = srt[i][: same[i] + 1]
+            n = int(common_lengths([before, at])[1])
+            out.append((n, at[n:]))
+            before = at
+    return out
+
+
+def whole_beginnings(cut: Iterable[tuple[int, bytes]]) -> list[bytes]:
+    return list(accumulate(cut, lambda before, x: before[: x[0]] + x[1], initial=b""))[1:]
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<array<long>>": pa.list_(pa.list_(pa.int64()))}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(", "))])
+
+
+def _batches(rows: Iterable[tuple], ddl: str, binary: int = 0) -> Iterator[pa.RecordBatch]:
+    """rows in batches that are bounded in rows and in bytes of the column given."""
+    schema = _arrow(ddl)
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[binary] or b"")
+        if len(held) >= 20_000 or size > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _tuples(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def ranges(own: DataFrame, parts: int) -> DataFrame:
+    """own (prefix, freq) in up to parts ranges by prefix, one to a partition, each sorted. Prefixes are read once to draw a sample, and again."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(drawn((b.column(0).to_pylist() for b in batches), SAMPLE_WORDS, SAMPLE_BYTES // parts), "word binary, weight long")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(((i, n, rest) for i, (n, rest) in enumerate(beginnings(_tuples(batches), parts))), "place int, same int, rest binary", 2)
+
+    sample = own.select("prefix").mapInArrow(draw, "word binary, weight long").repartition(1)
+    cut = [(x.same, bytes(x.rest)) for x in sorted(sample.mapInArrow(pick, "place int, same int, rest binary").collect(), key=lambda x: x.place)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = whole_beginnings(cut)
+        for b in batches:
+            yield b.append_column("part", pa.array([bisect_right(begin, word) for word in b.column(0).to_pylist()], pa.int32()))
+
+    return own.mapInArrow(deal, "prefix binary, freq long, part int").repartitionById(parts, F.col("part")).sortWithinPartitions("prefix").select("prefix", "freq")
+
+
 def forks(words: DataFrame) -> tuple[DataFrame, int]:
-    """(prefix, pos, above, n_children, freq) of all words and forks, with the length of the next such prefix above (-1: none), and the tree's height. Work is done at once, into a table in the shared folder."""
+    """(prefix, pos, above, n_children, freq) of all words and forks, with the length of the next such prefix above (-1: none), and the tree's height. Work is done at once, into tables in the shared folder."""
     d = words if "wb" in words.columns else with_bytes(words)
     spark = words.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes = pa.list_(pa.list_(pa.int64()))
-        schema = pa.schema([("role", pa.int32()), ("prefix", pa.binary()), ("above", pa.int32()), ("n_pairs", pa.int64()), ("is_word", pa.bool_()), ("freq", pa.int64()), ("below", pa.int32()), ("last", pa.binary()), ("on_first", nodes), ("on_last", nodes)])
-        held: list[tuple] = []
-        size = 0
-        for row in range_rows((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches):
-            held.append(row)
-            size += len(row[1])
-            if len(held) >= 20_000 or size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        yield from _batches(range_rows((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches), RANGE_ROWS, 1)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The open nodes, and the height as a row without a prefix."""
+        found, height = open_nodes(_tuples(batches))
+        yield from _batches(((word[:length], *node) for word, nodes in found for length, *node in nodes), NODE_ROWS)
+        yield from _batches([(None, height, None, None)], NODE_ROWS)
 
     own = d.where("wb is not null").select(F.encode("wb", "ISO-8859-1").alias("prefix"), F.col("freq").cast("long").alias("freq"))
-    path = new_path(spark, "tree")
-    own.repartitionByRange(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(run, RANGE_ROWS).write.parquet(path)
+    path, open_path = new_path(spark, "tree"), new_path(spark, "tree-open")
+    ranges(own, parts).mapInArrow(run, RANGE_ROWS).write.parquet(path)
     rows = spark.read.schema(RANGE_ROWS).parquet(path)
-    shared, height = open_nodes(rows.where(F.col("role") == ENDS).collect())  # one for each range
+    rows.where(F.col("role") == ENDS).repartition(1).mapInArrow(join, NODE_ROWS).write.parquet(open_path)  # one row for each range
+    shared = spark.read.schema(NODE_ROWS).parquet(open_path)
+    height = shared.where("prefix is null").agg(F.coalesce(F.max("above"), F.lit(0)).alias("height")).collect()[0].height
     whole = rows.where(F.col("role") == WHOLE).select("prefix", "above", (F.col("n_pairs") + (~F.col("is_word")).cast("long")).alias("n_children"), "freq")
-    each = spark.createDataFrame(shared, "word binary, nodes array<array<long>>").select("word", F.explode("nodes").alias("node"))
-    length, above, n_children, freq = (F.col("node")[i] for i in range(4))
-    out = whole.unionByName(each.select(F.substr(F.col("word"), F.lit(1), length.cast("int")).alias("prefix"), above.cast("int").alias("above"), n_children.alias("n_children"), freq.alias("freq")))
+    out = whole.unionByName(shared.where("prefix is not null"))
     return out.select(F.decode("prefix", "ISO-8859-1").alias("prefix"), F.length("prefix").alias("pos"), "above", "n_children", "freq"), height
 
 

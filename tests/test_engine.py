@@ -1,5 +1,6 @@
 """Distances, sources, searches, tree statistics and streams against goldens and brute force."""
 
+import bisect
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from lexispark import __main__ as modes
 from lexispark.functions import osa as osa_module
 from lexispark.functions.text import auto_distance, bit_kernel_fits, byte_string
 from lexispark.operators import compare, render, search, tree
+from lexispark.plans import catalog
 from lexispark.sources import dictionary
 from lexispark.streaming.search_stream import answer_batch, answer_stream, line_stream
 
@@ -300,6 +302,47 @@ def test_node_kinds_of_nested_words_stay_off_the_driver(spark, monkeypatch):
     assert {r.kind: r.n for r in rows} == {"node256": 1, "node4": 298, "node0": 1} and sent <= 2 * 4
 
 
+def sent_of_long_words(spark, folder, name):
+    """The rows of a registered query over 200 words of 20,003 letters, and the bytes that all tasks send to the driver meanwhile, range samples of Spark's own included."""
+    shared, letters = "a" * 20_000, "bcdefg"
+    texts = [(k, shared + letters[k // 36] + letters[k // 6 % 6] + letters[k % 6]) for k in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(4).write.parquet(f"file://{folder}/documents.parquet")
+    jsc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        jsc.listenerBus().waitUntilEmpty(30_000)
+        found = jsc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).resultSize() for i in range(found.size())}
+
+    before = stages()
+    catalog.queries()[name](spark, f"file://{folder}").write.parquet(f"file://{folder}/out")
+    sent = sum(size for stage, size in stages().items() if stage not in before)
+    return spark.read.parquet(f"file://{folder}/out"), sent
+
+
+#: Nodes of those words: of the first word's letters every eighth, then forks of letters (6 and 34 of 36), then words.
+LONG_CHAIN, LONG_FORKS = 20_000 // 8, 6 + 34
+
+
+def test_index_dot_of_long_words_sends_the_driver_no_sample(spark, tmp_path):
+    rows, sent = sent_of_long_words(spark, tmp_path, "index_dot")
+    assert rows.count() == 2 * (LONG_CHAIN + 1 + LONG_FORKS + 200) - 1 and sent < 500_000
+
+
+def test_beginnings_of_ranges_are_even_short_and_exact():
+    rng = random.Random(9)
+    for _ in range(200):
+        words = sorted({b"a" * rng.randrange(40) + bytes(rng.choice(b"\x00ab\xff") for _ in range(rng.randrange(5))) for _ in range(rng.randrange(60))})
+        parts = rng.randrange(1, 9)
+        begin = tree.whole_beginnings(tree.beginnings([(w, 1) for w in words], parts))
+        assert begin == sorted(set(begin)) and len(begin) < parts
+        sizes = [sum(bisect.bisect_right(begin, w) == k for w in words) for k in range(len(begin) + 1)]
+        assert sum(sizes) == len(words) and max(sizes) <= -(-len(words) // parts) + 1
+        most, most_bytes = rng.randrange(1, 20), rng.randrange(1, 200)
+        kept = tree.drawn([words[:30], words[30:]], most, most_bytes)
+        assert len(kept) <= 2 * most and sum(len(w) for w, _ in kept) <= most_bytes
+
+
 def test_segments_leave_few_pairs_and_lose_none(spark, monkeypatch):
     """Words of 6 to 20 bytes don't meet on length; swaps around the cuts are found."""
     rng = random.Random(11)
